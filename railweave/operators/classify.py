@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,14 +24,11 @@ def match_patterns(df: DataFrame, text: str = "question", patterns=fv.QUESTION_P
 def _whole_words(lowered: Column, tokens: Column, keywords) -> Column:
     """The keywords that occur as whole words, in list order. Single words are compared
     with the tokens; only the phrases need a pattern."""
-    phrases = [k for k in keywords if " " in k]
-    singles = [k for k in keywords if " " not in k]
-    present = F.array_intersect(F.array(*[F.lit(k) for k in singles]), tokens)
-    for p in phrases:
-        present = F.concat(present, F.when(lowered.rlike(rf"\b{p}\b"), F.array(F.lit(p))).otherwise(F.array()))
-    if not phrases:
-        return present
-    return F.filter(F.array(*[F.lit(k) for k in keywords]), lambda k: F.array_contains(present, k))
+    runs = [(phrase, list(words)) for phrase, words in groupby(keywords, key=lambda k: " " in k)]
+    none = F.array().cast("array<string>")
+    found = [F.concat(*[F.when(lowered.rlike(rf"\b{p}\b"), F.array(F.lit(p))).otherwise(none) for p in words]) if phrase
+             else F.array_intersect(F.array(*[F.lit(k) for k in words]), tokens) for phrase, words in runs]
+    return F.concat(*found)
 
 
 def count_keywords(df: DataFrame, text: str = "question") -> DataFrame:
