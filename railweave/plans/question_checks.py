@@ -225,3 +225,22 @@ SEARCH = {
         FROM (SELECT *, list_filter(list_transform(string_split(trim(substr(section, strpos(section, ':') + 1)), '>'), lambda x: trim(x)), lambda x: x <> '') AS stops
               FROM (SELECT *, substr(content, strpos(content, 'Stops')) AS section FROM {positioned}))""",
 }
+
+
+CHECK_BETWEEN = {
+    "first_at": "SELECT train_no, station_code, min(seq) AS seq FROM {stops} GROUP BY ALL",
+    "asked": "SELECT DISTINCT src_code AS origin, dst_code AS target FROM {ends} UNION SELECT dst_code, src_code FROM {ends}",
+    "both_ways": """
+        SELECT cast(10000 + order_key as varchar) AS train_no, 'there' AS way, src_name AS n1, src_code AS c1, dst_name AS n2, dst_code AS c2 FROM {ends}
+        UNION ALL SELECT cast(10000 + order_key as varchar), 'back', dst_name, dst_code, src_name, src_code FROM {ends}""",
+    "asked_docs": """
+        SELECT b.train_no || '-' || way AS question_id, b.*, d.doc_id, d.collection, d.content, lower(d.content) AS low,
+               string_split(lower(string_split(d.content, 'Stops')[2]), '>') AS ss
+        FROM {both_ways} b JOIN {docs} d ON d.train_no = b.train_no""",
+    "validated": """
+        SELECT *, collection = 'train_routes' AS valid_route FROM {asked_docs}
+        WHERE collection = 'trains' OR ((contains(low, lower(n1)) OR contains(low, lower(c1))) AND (contains(low, lower(n2)) OR contains(low, lower(c2)))
+              AND NOT coalesce(list_position(list_transform(ss, lambda x: contains(x, lower(n1)) OR contains(x, lower(c1))), true)
+                               >= list_position(list_transform(ss, lambda x: contains(x, lower(n2)) OR contains(x, lower(c2))), true), false))""",
+    "mixed": "SELECT c1 || '-' || right(train_no, 1) AS question_id, doc_id, collection, train_no, valid_route FROM {validated}",
+}
