@@ -164,3 +164,8 @@ def entity_numbers(c: str | Column) -> Column:
     found = F.regexp_extract_all(col(c), F.lit(r"\b(0?\d{4,5})\b"), F.lit(1))
     return F.filter(F.array_distinct(F.transform(found, lambda t: t.cast("int").cast("string"))), lambda t: t != "0")
 
+
+def title_case(c: str | Column) -> Column:
+    """Lower case with a capital after every character that is not a letter."""
+    words = F.split(F.lower(col(c)), r"(?<=[^\p{L}])(?=\p{L})")
+    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1_000_000))), "")

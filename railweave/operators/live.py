@@ -52,8 +52,8 @@ def normalise_status(df: DataFrame, key: str = "train_no", payload: str = "paylo
     position = tx.clean("p.position", tokens=("",))
     return (p.withColumn("delay_minutes", delay)
             .select(F.lit(True).alias("success"), F.lit("RapidAPI").alias("source"), F.col(key).alias("train_no"),
-                    F.initcap(_blank(F.col("p.train_name"))).alias("train_name"),
-                    F.initcap(_blank(F.col("p.current_station"))).alias("current_station"), "delay_minutes",
+                    tx.title_case(_blank(F.col("p.train_name"))).alias("train_name"),
+                    tx.title_case(_blank(F.col("p.current_station"))).alias("current_station"), "delay_minutes",
                     F.coalesce(position, F.when(F.col("delay_minutes") == 0, "Running on time")
                                .otherwise(F.concat(F.col("delay_minutes").cast("string"), F.lit(" min late")))).alias("status"),
                     F.coalesce("p.progress_percent", F.lit(0)).alias("progress_percent"),

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DataType, LongType, StructField, StructType
 
 from railweave import fixed_values as fv
 from railweave.functions import text as tx
@@ -37,16 +38,14 @@ def recent_turns(df: DataFrame, session: str = "session_id", ts: str = "ts", tie
               .drop("_h", "_pos", "t")
 
 
-def _sequential(df: DataFrame, keys: list[str], order: list[str], fresh_state: Callable, step: Callable, out_fields: dict[str, str],
+def _sequential(df: DataFrame, keys: list[str], order: list[str], fresh_state: Callable, step: Callable, out_fields: dict[str, DataType],
                 read: list[str]) -> DataFrame:
     """Runs ``step(state, *values) -> tuple`` over the rows of each key in order.
 
     Rows are hash-partitioned by key and sorted, then pass through as Arrow
     batches; only the small state of the current key is held, never its rows.
     """
-    schema = df.schema
-    for name, kind in out_fields.items():
-        schema = schema.add(name, kind)
+    schema = StructType(df.schema.fields + [StructField(name, kind) for name, kind in out_fields.items()])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, None
@@ -104,7 +103,7 @@ def rate_limit(df: DataFrame, client: str = "client", ts: str = "ts", tie: str =
     """
     segments = _with_segments(df, client, ts, tie, seconds)
     done = _sequential(segments, [client, "_segment"], ["_us", tie], deque, limiter_step(limit, seconds * 1_000_000),
-                       {out: "boolean"}, ["_us"])
+                       {out: BooleanType()}, ["_us"])
     return done.select(*df.columns, out)
 
 
@@ -115,9 +114,9 @@ def ttl_cache(df: DataFrame, key: str, ts: str = "ts", tie: str = "request_id",
     A hit does not renew the entry. Only rows with ``storable`` fill it.
     """
     segments = _with_segments(df, key, ts, tie, ttl_seconds)
-    id_type = df.schema[tie].dataType.simpleString()
+    id_type = df.schema[tie].dataType
     done = _sequential(segments, [key, "_segment"], ["_us", tie], dict, cache_step(ttl_seconds * 1_000_000),
-                       {"from_cache": "boolean", "served_id": id_type, "age_seconds": "bigint"}, ["_us", tie, storable])
+                       {"from_cache": BooleanType(), "served_id": id_type, "age_seconds": LongType()}, ["_us", tie, storable])
     return done.select(*df.columns, "from_cache", "served_id", "age_seconds")
 
 

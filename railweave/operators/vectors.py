@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from railweave import fixed_values as fv
 
@@ -23,7 +24,7 @@ def embed_documents(df: DataFrame, model: Callable[[], Callable[[list[str]], np.
     ``model`` is called once per task and returns a function from a list of texts
     to a matrix; it sees one Arrow batch at a time.
     """
-    schema = df.schema.add(out, "array<float>")
+    schema = StructType(df.schema.fields + [StructField(out, ArrayType(FloatType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = model()

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from railweave.functions import text as tx
+from railweave.functions.runtime import materialise
 from railweave.operators import documents as doc
 from railweave.operators import stations as st
 
@@ -204,13 +205,25 @@ class Roles:
                                       F.col("distance_km").alias("total_distance_km"), "total_stops")
         return info.join(stops, "order_key").withColumnRenamed("order_key", "row_id")
 
+    def _once(self, name: str, build) -> DataFrame:
+        """A table that several steps read, written once."""
+        if name not in self._memo:
+            self._memo[name] = materialise(build(), name)
+        return self._memo[name]
+
     def station_dim(self) -> DataFrame:
-        return st.station_dim(self.station_info, self.station_zones, self.station_aka)
+        return self._once("station-dim", lambda: st.station_dim(self.station_info, self.station_zones, self.station_aka))
 
     def aliases(self) -> DataFrame:
-        return st.alias_index(self.station_dim())
+        return self._once("aliases", lambda: st.alias_index(self.station_dim()))
+
+    def asked(self) -> DataFrame:
+        return self._once("search-questions", lambda: self.search_questions)
 
     def search_docs(self) -> DataFrame:
+        return self._once("search-docs", self._search_docs)
+
+    def _search_docs(self) -> DataFrame:
         """Train, station, route, rule and reference documents with ids that both engines can compute."""
         trains = doc.train_documents(self.train_info).withColumn("doc_id", F.lit(1) * 10**12 + F.col("train_no").cast("bigint"))
         stations = (doc.station_documents(self.station_dim()).join(self.station_rows.select("station_code", "row_id"), "station_code")

@@ -17,7 +17,7 @@ from railweave.plans.registry import query
 def prepared(r):
     """Search questions with expanded text, stations and search text."""
     stations = r.station_dim()
-    expanded = rt.expand_synonyms(r.search_questions)
+    expanded = rt.expand_synonyms(r.asked())
     return rt.rewrite_query(se.resolve_stations(expanded, r.aliases(), stations))
 
 
@@ -110,7 +110,7 @@ def _lists(r):
     """Exact and vector lists of the search questions over all documents."""
     docs = r.search_docs()
     p = prepared(r).withColumn("active", rt.route_collections("expanded"))
-    exact = rt.exact_lookup(r.search_questions, docs)
+    exact = rt.exact_lookup(r.asked(), docs)
     near = vc.vector_topk(vc.hashed_embedding(p.select("question_id", "search_text"), "search_text"), vc.hashed_embedding(docs.select("doc_id", "collection", "content")))
     active = near.join(p.select("question_id", "active"), "question_id").where(F.array_contains("active", F.col("collection")))
     semantic = vc.merge_topk(active).withColumn("source", F.lit("semantic"))
@@ -225,9 +225,8 @@ def _(r):
 
 def searched(r):
     """Hybrid search of all search questions over all documents."""
-    docs = vc.hashed_embedding(r.search_docs())
-    stored = materialise(docs, "search-docs")
-    return se.hybrid_search(r.search_questions, stored, r.station_dim(), r.aliases())
+    docs = materialise(vc.hashed_embedding(r.search_docs()), "embedded-docs")
+    return se.hybrid_search(r.asked(), docs, r.station_dim(), r.aliases())
 
 
 @query("ret16_hybrid_search", """
@@ -313,5 +312,5 @@ def _(r):
 def _(r):
     """The words of each search question are the keywords its context should hold."""
     contexts = rt.context_budget(searched(r)).select("question_id", "context")
-    cases = r.search_questions.withColumn("expected_keywords", F.split("question", " ")).join(contexts, "question_id", "left")
+    cases = r.asked().withColumn("expected_keywords", F.split("question", " ")).join(contexts, "question_id", "left")
     return ql.retrieval_recall(ql.keyword_hits(cases, intent=None))

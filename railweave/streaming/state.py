@@ -7,6 +7,7 @@ from collections import deque
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DataType, LongType, StringType, StructField, StructType
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from railweave import fixed_values as fv
@@ -17,11 +18,9 @@ def _micros(df: DataFrame, ts: str) -> DataFrame:
     return df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
 
 
-def _stateful(df: DataFrame, key: str, ts: str, tie: str, out_fields: dict[str, str], state_ddl: str, load, save, step, read) -> DataFrame:
+def _stateful(df: DataFrame, key: str, ts: str, tie: str, out_fields: dict[str, DataType], state_ddl: str, load, save, step, read) -> DataFrame:
     """Runs ``step`` over the rows of each key in event order; state outlives the batch."""
-    schema = df.schema
-    for name, kind in out_fields.items():
-        schema = schema.add(name, kind)
+    schema = StructType(df.schema.fields + [StructField(name, kind) for name, kind in out_fields.items()])
     names = df.columns
 
     def run(_, batches, group: GroupState):
@@ -38,16 +37,16 @@ def _stateful(df: DataFrame, key: str, ts: str, tie: str, out_fields: dict[str,
 
 def stream_rate_limit(df: DataFrame, client: str = "client", ts: str = "ts", tie: str = "request_id", limit: int = fv.RATE_LIMIT_MAX,
                       seconds: int = fv.RATE_LIMIT_SECONDS, out: str = "allowed") -> DataFrame:
-    return _stateful(df, client, ts, tie, {out: "boolean"}, "accepted array<bigint>",
+    return _stateful(df, client, ts, tie, {out: BooleanType()}, "accepted array<bigint>",
                      lambda s: deque(s[0] if s else ()), lambda s: (list(s),),
                      limiter_step(limit, seconds * 1_000_000), ["_us"])
 
 
 def stream_ttl_cache(df: DataFrame, key: str, ts: str = "ts", tie: str = "request_id", ttl_seconds: int = fv.ANSWER_TTL_SECONDS,
                      storable: str = "storable") -> DataFrame:
-    id_type = df.schema[tie].dataType.simpleString()
-    return _stateful(df, key, ts, tie, {"from_cache": "boolean", "served_id": id_type, "age_seconds": "bigint"},
-                     f"at bigint, id {id_type}",
+    id_type = df.schema[tie].dataType
+    return _stateful(df, key, ts, tie, {"from_cache": BooleanType(), "served_id": id_type, "age_seconds": LongType()},
+                     f"at bigint, id {id_type.simpleString()}",
                      lambda s: dict(at=s[0], id=s[1]) if s and s[0] is not None else {},
                      lambda s: (s.get("at"), s.get("id")),
                      cache_step(ttl_seconds * 1_000_000), ["_us", tie, storable])
@@ -60,7 +59,7 @@ def stream_carry_train(df: DataFrame, session: str = "session_id", ts: str = "ts
             state["v"] = current
         return (state.get("v"),)
 
-    return _stateful(df, session, ts, tie, {out: "string"}, "v string", lambda s: {"v": s[0]} if s and s[0] is not None else {},
+    return _stateful(df, session, ts, tie, {out: StringType()}, "v string", lambda s: {"v": s[0]} if s and s[0] is not None else {},
                      lambda s: (s.get("v"),), step, [value])
 
 
