@@ -29,6 +29,11 @@ def clean_nulls(df: DataFrame, tokens=fv.NULL_TOKENS) -> DataFrame:
     )
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, for expressions that read it several times."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def part(condition: Column, *pieces) -> Column:
     """Concatenated pieces where the condition holds, else empty text."""
     return F.when(condition, F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in pieces])).otherwise("")

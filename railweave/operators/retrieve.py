@@ -193,12 +193,15 @@ def _mentions(text: Column, station: Column, match: str) -> Column:
 
 def route_is_valid(content: Column, origin: Column, target: Column, match: str = "substring") -> Column:
     """Both stations occur, and the first place of the origin comes before that of the target."""
+    def ordered(stops: Column) -> Column:
+        place = lambda st: F.array_position(F.transform(stops, lambda x: _mentions(x, st, match)), F.lit(True))
+        both = F.struct(place(origin).alias("a"), place(target).alias("b"))
+        return tx.bind(both, lambda p: (p["a"] == 0) | (p["b"] == 0) | (p["a"] < p["b"]))
+
     low = F.lower(content)
-    stops = F.split(F.lower(F.get(F.split(content, "Stops"), F.lit(1))), ">")
-    place = lambda s: F.array_position(F.transform(stops, lambda x: _mentions(x, s, match)), F.lit(True))
-    a, b = place(origin), place(target)
-    wrong_way = content.contains("Stops") & (a > 0) & (b > 0) & (a >= b)
-    return _mentions(low, origin, match) & _mentions(low, target, match) & ~F.coalesce(wrong_way, F.lit(False))
+    in_order = tx.bind(F.split(F.lower(F.get(F.split(content, "Stops"), F.lit(1))), ">"), ordered)
+    return (_mentions(low, origin, match) & _mentions(low, target, match)
+            & F.when(content.contains("Stops"), F.coalesce(in_order, F.lit(True))).otherwise(True))
 
 
 def validate_route(candidates: DataFrame, stations: str = "stations", match: str = "substring") -> DataFrame:
@@ -232,21 +235,30 @@ def drop_wrong_stations(candidates: DataFrame, stations: str = "stations") -> Da
                             | (F.col("station_code") == "") | named)
 
 
-def between_stations(stops: DataFrame, pairs: DataFrame) -> DataFrame:
+def between_stations(stops: DataFrame, pairs: DataFrame, short: int = 32) -> DataFrame:
     """Trains that serve ``origin`` before ``target``.
 
-    The asked pairs go to the stops of the origin, then to those of the target of
-    the same train, so only asked pairs are formed, never all pairs of a train.
-    A train counts by the first place of each station. Stops are reduced to one
-    row per (train, station) before any join.
+    A train counts by the first place of each station. For trains with up to
+    ``short`` stations (most of them) the few ordered pairs of the train are
+    looked up among the asked ones. For longer trains the asked pairs lead: from
+    the origin's stops to the target's stop of the same train. So neither a long
+    train nor a busy station forms all its pairs.
     """
     first = stops.groupBy("train_no", "station_code").agg(F.min("seq").alias("seq"))
-    a = first.select("train_no", F.col("station_code").alias("origin"), F.col("seq").alias("from_seq"))
-    b = first.select("train_no", F.col("station_code").alias("target"), F.col("seq").alias("to_seq"))
+    size = first.groupBy("train_no").agg(F.count(F.lit(1)).alias("n"))
+    sized = first.join(size, "train_no")
     asked = pairs.select("origin", "target").distinct()
-    reachable = asked.join(a, "origin")
-    return (reachable.join(b, ["train_no", "target"]).where(F.col("from_seq") < F.col("to_seq"))
-            .select("origin", "target", "train_no", "from_seq", "to_seq"))
+
+    def ends(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return (df.select("train_no", F.col("station_code").alias("origin"), F.col("seq").alias("from_seq")),
+                df.select("train_no", F.col("station_code").alias("target"), F.col("seq").alias("to_seq")))
+
+    a, b = ends(sized.where(F.col("n") <= short))
+    near = a.join(b, "train_no").where(F.col("from_seq") < F.col("to_seq")).join(asked, ["origin", "target"])
+    a, b = ends(sized.where(F.col("n") > short))
+    far = asked.join(a, "origin").join(b, ["train_no", "target"]).where(F.col("from_seq") < F.col("to_seq"))
+    columns = ["origin", "target", "train_no", "from_seq", "to_seq"]
+    return near.select(*columns).unionByName(far.select(*columns))
 
 
 def enrich_route_names(candidates: DataFrame, documents: DataFrame, score: float = 0.95) -> DataFrame:

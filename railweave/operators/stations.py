@@ -185,7 +185,9 @@ def similar_pairs(words: DataFrame, names: DataFrame, cutoff: float) -> DataFram
              .where(F.col("from") <= F.col("to"))
              .withColumn("at", F.explode(F.sequence("from", "to")))
              .select("word", "la", "lb", "i", F.substring("word", F.col("at") + 1, size).alias("piece")))
-    pairs = probe.join(index, ["la", "lb", "i", "piece"]).select("word", "alias").distinct()
+    # the edit distance is never above the unmatched characters; it is far cheaper than the ratio
+    pairs = (probe.withColumn("d", edits).join(index, ["la", "lb", "i", "piece"])
+             .where(F.expr("levenshtein(word, alias, d) >= 0")).select("word", "alias").distinct())
     return pairs.withColumn("ratio", sequence_ratio("word", "alias")).where(F.col("ratio") >= cutoff)
 
 

@@ -15,6 +15,7 @@ from railweave import fixed_values as fv
 
 BLOCK_QUESTIONS = 4096
 BLOCK_DOCUMENTS = 65536
+MIN_BLOCK_DOCUMENTS = 1024
 
 
 def embed_documents(df: DataFrame, model: Callable[[], Callable[[list[str]], np.ndarray]], text: str = "content",
@@ -67,8 +68,13 @@ def vector_topk(questions: DataFrame, documents: DataFrame, k: int = fv.PER_COLL
     """
     q = questions.select(F.col(question_id).alias("question_id"), F.col("embedding").cast("array<double>").alias("v"))
     d = documents.select("collection", F.col(doc_id).alias("doc_id"), F.col("embedding").cast("array<double>").alias("v"))
-    blocks = lambda df, size: F.greatest(F.lit(1), F.ceil(df.agg(F.count(F.lit(1))).scalar() / size)).cast("int")
-    q_blocks, d_blocks = blocks(q, block_questions), blocks(d, block_documents)
+    # enough document blocks to keep all tasks busy, unless they would get too small
+    tasks = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = lambda df: df.agg(F.count(F.lit(1))).scalar()
+    blocks = lambda n, size: F.greatest(F.lit(1), F.ceil(n / size))
+    q_blocks = blocks(rows(questions), block_questions).cast("int")
+    n_docs = rows(documents)
+    d_blocks = F.greatest(blocks(n_docs, block_documents), F.least(F.lit(2 * tasks), blocks(n_docs, MIN_BLOCK_DOCUMENTS))).cast("int")
     q = (q.withColumn("qb", F.pmod(F.xxhash64("question_id"), q_blocks).cast("int"))
          .withColumn("db", F.explode(F.sequence(F.lit(0), d_blocks - 1))))
     d = (d.withColumn("db", F.pmod(F.xxhash64("collection", "doc_id"), d_blocks).cast("int"))

@@ -16,6 +16,7 @@ from railweave.functions import text as tx
 from railweave.functions.runtime import materialise
 from railweave.operators import documents as doc
 from railweave.operators import stations as st
+from railweave.operators import vectors as vc
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
@@ -57,15 +58,15 @@ ROLES: dict[str, str] = {
     "stop_rows": """
         SELECT l_orderkey AS order_key, cast(10000 + l_orderkey as string) AS train_no,
                cast(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) as int) AS seq,
-               l_suppkey AS stn_id, station_code, full_name AS station_name, zone, zone_name AS division, l_quantity, l_discount, l_tax,
+               count(*) OVER (PARTITION BY l_orderkey) AS n_stops, l_suppkey AS stn_id, station_code, full_name AS station_name, zone, zone_name AS division, l_quantity, l_discount, l_tax,
                lpad(cast(l_linenumber + 8 as string), 2, '0') || '.' || lpad(cast(cast(floor(l_quantity) as int) as string), 2, '0') AS arr,
                lpad(cast(l_linenumber + 8 as string), 2, '0') || '.' || lpad(cast(cast(floor(l_quantity) as int) + 5 as string), 2, '0') AS dep,
                cast(floor(l_tax * 100) as int) AS halt_min, cast(l_quantity as string) AS distance_km,
                cast(floor(l_discount * 10) as int) + 1 AS day, l_linestatus AS platform, l_returnflag <> 'R' AS is_stopping
         FROM {lineitem} JOIN {station_rows} ON l_suppkey = stn_id""",
     "stops": """
-        SELECT s.*, n_stops, CASE WHEN seq = 1 THEN 'First' ELSE arr END AS arrival, CASE WHEN seq = n_stops THEN 'Last' ELSE dep END AS departure
-        FROM {stop_rows} s JOIN (SELECT order_key AS k, count(*) AS n_stops FROM {stop_rows} GROUP BY order_key) c ON s.order_key = c.k""",
+        SELECT *, CASE WHEN seq = 1 THEN 'First' ELSE arr END AS arrival, CASE WHEN seq = n_stops THEN 'Last' ELSE dep END AS departure
+        FROM {stop_rows}""",
     "ends": """
         SELECT order_key, cast(max(n_stops) as int) AS total_stops, sum(l_quantity) AS km,
                max(CASE WHEN seq = 1 THEN station_code END) AS src_code, max(CASE WHEN seq = 1 THEN station_name END) AS src_name,
@@ -148,6 +149,9 @@ ROLES: dict[str, str] = {
 }
 
 
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -206,10 +210,12 @@ class Roles:
         return info.join(stops, "order_key").withColumnRenamed("order_key", "row_id")
 
     def _once(self, name: str, build) -> DataFrame:
-        """A table that several steps read, written once."""
-        if name not in self._memo:
-            self._memo[name] = materialise(build(), name)
-        return self._memo[name]
+        """A stored table (dimension, index) that many queries read: built by the first one
+        that needs it and kept in the shared folder for the rest of the session."""
+        key = (self.spark.sparkContext.applicationId, self.sf, name)
+        if key not in _STORED:
+            _STORED[key] = materialise(build(), name)
+        return _STORED[key]
 
     def station_dim(self) -> DataFrame:
         return self._once("station-dim", lambda: st.station_dim(self.station_info, self.station_zones, self.station_aka))
@@ -223,6 +229,10 @@ class Roles:
     def search_docs(self) -> DataFrame:
         return self._once("search-docs", self._search_docs)
 
+    def embedded_docs(self) -> DataFrame:
+        """The search documents with their vectors: the index that searches read."""
+        return self._once("embedded-docs", lambda: vc.hashed_embedding(self.search_docs()))
+
     def _search_docs(self) -> DataFrame:
         """Train, station, route, rule and reference documents with ids that both engines can compute."""
         trains = doc.train_documents(self.train_info).withColumn("doc_id", F.lit(1) * 10**12 + F.col("train_no").cast("bigint"))

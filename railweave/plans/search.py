@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from railweave import fixed_values as fv
-from railweave.functions.runtime import materialise
 from railweave.operators import quality as ql
 from railweave.operators import retrieve as rt
 from railweave.operators import search as se
@@ -79,7 +78,7 @@ def _(r):
 @query("ret05_vector_topk_documents", "SELECT question_id, collection, doc_id, score, rank FROM {near}", recursive=True, **qc.SEARCH)
 def _(r):
     asked = vc.hashed_embedding(prepared(r).select("question_id", "search_text"), "search_text")
-    return vc.vector_topk(asked, vc.hashed_embedding(r.search_docs().select("doc_id", "collection", "content")))
+    return vc.vector_topk(asked, r.embedded_docs())
 
 
 @query("ret06_merge_topk", """
@@ -111,7 +110,7 @@ def _lists(r):
     docs = r.search_docs()
     p = prepared(r).withColumn("active", rt.route_collections("expanded"))
     exact = rt.exact_lookup(r.asked(), docs)
-    near = vc.vector_topk(vc.hashed_embedding(p.select("question_id", "search_text"), "search_text"), vc.hashed_embedding(docs.select("doc_id", "collection", "content")))
+    near = vc.vector_topk(vc.hashed_embedding(p.select("question_id", "search_text"), "search_text"), r.embedded_docs())
     active = near.join(p.select("question_id", "active"), "question_id").where(F.array_contains("active", F.col("collection")))
     semantic = vc.merge_topk(active).withColumn("source", F.lit("semantic"))
     return docs, exact, semantic
@@ -199,7 +198,7 @@ def _(r):
 def _(r):
     docs = r.search_docs()
     p = prepared(r)
-    near = vc.vector_topk(vc.hashed_embedding(p.select("question_id", "search_text"), "search_text"), vc.hashed_embedding(docs.select("doc_id", "collection", "content")))
+    near = vc.vector_topk(vc.hashed_embedding(p.select("question_id", "search_text"), "search_text"), r.embedded_docs())
     candidates = near.drop("collection").join(docs, "doc_id").join(p.select("question_id", "stations"), "question_id")
     return rt.drop_wrong_stations(candidates).select("question_id", "doc_id")
 
@@ -225,8 +224,7 @@ def _(r):
 
 def searched(r):
     """Hybrid search of all search questions over all documents."""
-    docs = materialise(vc.hashed_embedding(r.search_docs()), "embedded-docs")
-    return se.hybrid_search(r.asked(), docs, r.station_dim(), r.aliases())
+    return se.hybrid_search(r.asked(), r.embedded_docs(), r.station_dim(), r.aliases())
 
 
 @query("ret16_hybrid_search", """
@@ -293,7 +291,7 @@ def _(r):
        recursive=True, **qc.SEARCH)
 def _(r):
     docs = r.search_docs()
-    near = vc.vector_topk(vc.hashed_embedding(prepared(r).select("question_id", "search_text"), "search_text"), vc.hashed_embedding(docs.select("doc_id", "collection", "content")))
+    near = vc.vector_topk(vc.hashed_embedding(prepared(r).select("question_id", "search_text"), "search_text"), r.embedded_docs())
     return (rt.sources_by_type(near.join(docs.select("doc_id", "source_type"), "doc_id"))
             .withColumn("items", F.array_join(F.col("items").cast("array<string>"), ",")))
 

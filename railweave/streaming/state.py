@@ -25,7 +25,7 @@ def _stateful(df: DataFrame, key: str, ts: str, tie: str, out_fields: dict[str,
 
     def run(_, batches, group: GroupState):
         # rows of one key within one micro-batch, whose size the trigger bounds
-        pdf = pd.concat(list(batches)).sort_values(["_us", tie])
+        pdf = pd.concat([b for b in batches if len(b)]).sort_values(["_us", tie])
         state = load(group.get if group.exists else None)
         results = [step(state, *values) for values in zip(*[pdf[c] for c in read])]
         group.update(save(state))
