@@ -8,7 +8,7 @@ from pyspark.sql.types import StructType
 from railweave.sources.tables import append_missing
 
 
-def read_stream(spark: SparkSession, path: str, schema: StructType, max_bytes: str = "1g", pattern: str | None = None) -> DataFrame:
+def read_stream(spark: SparkSession, path: str, schema: StructType, max_bytes: int = 1 << 30, pattern: str | None = None) -> DataFrame:
     """Parquet files as a stream; a micro-batch takes ``max_bytes`` at most, so a
     backlog is worked off in pieces."""
     reader = spark.readStream.schema(schema).option("maxBytesPerTrigger", max_bytes)
