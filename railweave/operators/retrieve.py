@@ -82,17 +82,15 @@ def contains_join(documents: DataFrame, terms: DataFrame, text: str = "content",
     with ``same_case`` telling whether the term occurs as written.
     """
     low_text = F.lower(text)
-    words = F.array_distinct(F.filter(F.split(low_text, r"\s+"), lambda w: w != ""))
-    postings = documents.select("doc_id", F.explode(words).alias("word"))
+    postings = documents.select("doc_id", F.explode(F.split(low_text, r"\s+")).alias("word")).where(F.col("word") != "")
     parts = F.split(F.lower("term"), r"\s+")
     anchors = (terms.select("term").distinct()
                .withColumn("anchor", F.array_max(F.transform(parts, lambda p: F.struct(F.length(p).alias("n"), p.alias("w"))))["w"]))
-    lengths = anchors.agg(F.array_distinct(F.collect_set(F.length("anchor")))).scalar()
+    lengths = anchors.agg(F.collect_set(F.length("anchor"))).scalar()
     pieces = (postings.select("word").distinct().withColumn("n", F.explode(lengths))
               .where(F.length("word") >= F.col("n"))
-              .select("word", F.explode(F.array_distinct(F.transform(
-                  F.sequence(F.lit(1), F.length("word") - F.col("n") + 1),
-                  lambda i: F.substring(F.col("word"), i, F.col("n"))))).alias("anchor")))
+              .withColumn("at", F.explode(F.sequence(F.lit(1), F.length("word") - F.col("n") + 1)))
+              .select("word", F.substring("word", F.col("at"), F.col("n")).alias("anchor")))
     leads = pieces.join(anchors, "anchor").select("word", "term").distinct()
     pairs = postings.join(leads, "word").select("doc_id", "term").distinct()
     found = documents.select("doc_id", text, *keep).join(pairs, "doc_id")
