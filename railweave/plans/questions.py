@@ -127,7 +127,7 @@ def _(r):
 
 
 @query("jn07_exact_lookup", """
-    SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY collection = 'train_routes', pos, doc_id) - 1 AS rank, doc_id, 1.0 AS score, train_no, collection
+    SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY collection = 'train_routes', pos, doc_id) - 1 AS rank, doc_id, 1.0::double AS score, train_no, collection
     FROM (SELECT question_id, unnest(nums) AS num, unnest(generate_series(1, len(nums))) AS pos
           FROM (SELECT question_id, regexp_extract_all(question, '\\b(\\d{5})\\b', 1) AS nums FROM {questions})) JOIN {docs} ON train_no = num""")
 def _(r):

@@ -245,7 +245,7 @@ def _(r):
 
 
 @query("ret12_context_budget_texts", """
-    SELECT grp AS question_id, count(*) AS documents, sum(length(text)) AS chars
+    SELECT grp AS question_id, count(*) AS documents, cast(sum(length(text)) as bigint) AS chars
     FROM (SELECT *, sum(length(text)) OVER (PARTITION BY grp ORDER BY n ROWS UNBOUNDED PRECEDING) AS total FROM (
             SELECT lang || source AS grp, text, row_number() OVER (PARTITION BY lang || source ORDER BY doc_id) AS n FROM {documents}) WHERE n <= 25)
     WHERE total <= 12000 OR n = 1 GROUP BY grp""")
@@ -260,7 +260,7 @@ def _(r):
 
 @query("ret13_project_sources", """
     SELECT doc_id, source_type AS type, CASE WHEN source_type IN ('train', 'train_route') THEN coalesce(train_no, '') END AS train_no,
-           CASE WHEN source_type = 'station' THEN coalesce(station_code, '') END AS station_code, 0.0 AS relevance_score FROM {docs}""")
+           CASE WHEN source_type = 'station' THEN coalesce(station_code, '') END AS station_code, 0.0::double AS relevance_score FROM {docs}""")
 def _(r):
     docs = r.search_docs()
     for missing in ("score", "category", "rule_title", "ref_type"):
@@ -304,7 +304,7 @@ def _(r):
 
 @query("eval02_retrieval_recall", """
     SELECT coalesce(round(avg(CASE WHEN hits >= n * 0.5 THEN 1.0 ELSE 0.0 END), 4), 0) AS retrieval_recall_50pct, round(sum(hits) / sum(n), 4) AS keyword_hit_rate,
-           count(*) AS queries_tested, sum(CASE WHEN hits >= n * 0.5 THEN 1 ELSE 0 END) AS queries_passed
+           count(*) AS queries_tested, cast(sum(CASE WHEN hits >= n * 0.5 THEN 1 ELSE 0 END) as bigint) AS queries_passed
     FROM (SELECT question_id, len(kws) AS n, len(list_filter(kws, lambda k: contains(lower(coalesce(context, '')), lower(k)))) AS hits
           FROM (SELECT question_id, string_split(question, ' ') AS kws FROM {search_questions}) LEFT JOIN {budgeted} USING (question_id))""", recursive=True, **_CONTEXT)
 def _(r):

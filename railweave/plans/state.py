@@ -129,7 +129,7 @@ def _(r):
     return _drained(r, sm.stream_query_stats(log), "stats")
 
 
-@query("st05_stream_documents", "SELECT lang AS collection, count(*) AS documents, sum(length(text)) AS chars FROM {documents} GROUP BY lang")
+@query("st05_stream_documents", "SELECT lang AS collection, count(*) AS documents, cast(sum(length(text)) as bigint) AS chars FROM {documents} GROUP BY lang")
 def _(r):
     """The stream is run twice from new checkpoints; the second run adds nothing."""
     root = scratch_path(r.spark, "stream-docs")
@@ -181,7 +181,7 @@ _LINES = dict(profile="""
 
 
 @query("agg10_line_profile", """
-    SELECT lang, source, count(*) AS files, sum(sloc) AS sloc, sum(comments) AS comments, sum(blank) AS blank, sum(total) AS total
+    SELECT lang, source, count(*) AS files, cast(sum(sloc) as bigint) AS sloc, cast(sum(comments) as bigint) AS comments, cast(sum(blank) as bigint) AS blank, cast(sum(total) as bigint) AS total
     FROM {profile} WHERE total > 0 GROUP BY GROUPING SETS ((lang), (source), ())""", **_LINES)
 def _(r):
     return ql.line_breakdown(ql.line_profile(r.documents), "lang", "source")
@@ -234,7 +234,7 @@ def _labelled(r):
 
 
 @query("eval01_intent_accuracy", f"""
-    SELECT round(avg(CASE WHEN expected = intent THEN 1.0 ELSE 0.0 END), 4) AS accuracy, sum(CASE WHEN expected = intent THEN 1 ELSE 0 END) AS correct, count(*) AS total
+    SELECT round(avg(CASE WHEN expected = intent THEN 1.0 ELSE 0.0 END), 4) AS accuracy, cast(sum(CASE WHEN expected = intent THEN 1 ELSE 0 END) as bigint) AS correct, count(*) AS total
     FROM (SELECT {_EXPECTED} AS expected, intent FROM {{orders}} JOIN {{questions}} q ON q.question_id = o_orderkey JOIN {{classified}} c ON c.question = q.question)""", **qc.CLASSIFY)
 def _(r):
     return ql.intent_accuracy(_labelled(r))

@@ -72,7 +72,7 @@ def _(r):
 
 
 @query("src05_write_collection", """
-    SELECT lang AS collection, count(*) AS documents, sum(length(text)) AS chars FROM {documents} GROUP BY lang""")
+    SELECT lang AS collection, count(*) AS documents, cast(sum(length(text)) as bigint) AS chars FROM {documents} GROUP BY lang""")
 def _(r):
     """All collections are written; one of them is then replaced by itself, the others stay."""
     path = scratch_path(r.spark, "collections")
@@ -126,7 +126,7 @@ def _(r):
 
 @query("src11_write_eval_report", """
     SELECT round(avg(CASE WHEN quality = 1 - toxic THEN 1.0 ELSE 0.0 END), 4) AS accuracy,
-           sum(CASE WHEN quality = 1 - toxic THEN 1 ELSE 0 END) AS correct, count(*) AS total FROM {labels}""")
+           cast(sum(CASE WHEN quality = 1 - toxic THEN 1 ELSE 0 END) as bigint) AS correct, count(*) AS total FROM {labels}""")
 def _(r):
     path = scratch_path(r.spark, "eval-report")
     cases = r.labels.select(F.col("quality").cast("string").alias("expected"), (1 - F.col("toxic")).cast("string").alias("actual"))
