@@ -8,11 +8,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows that one step of a scan holds in Python; longer Arrow batches are cut.
 BATCH_ROWS = 1024
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,7 +40,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
             yield batch.slice(start)
 
 
-def scan(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str, text: str = "text") -> DataFrame:
+def scan(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str | StructType, text: str = "text") -> DataFrame:
     """Apply ``fn`` to bounded slices of the Arrow batches."""
     def run(batches):
         for part in slices(batches, text):
@@ -57,21 +58,50 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered up to a bound."""
-
-    LIMIT = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= self.LIMIT:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BASE = 0x9E3779B97F4A7C17
+_SEGMENT = 1 << 20
+_powers: list[np.ndarray] = []
+
+
+def _tables(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hash's base and of its inverse modulo 2**64."""
+    if not _powers or len(_powers[0]) < size:
+        out = []
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            column = np.full(size, base, np.uint64)
+            column[0] = 1
+            out.append(np.multiply.accumulate(column))
+        _powers[:] = out
+    return _powers[0], _powers[1]
+
+
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(start, 64-bit hash) of every word of a buffer; words are what white space separates.
+
+    A polynomial over the word's bytes, read off running sums, then mixed with its length.
+    """
+    data = np.frombuffer(text, np.uint8)
+    space = _SPACE[data]
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if len(data) and not space[0]:
+        edge = np.concatenate([[0], edge])
+    if len(edge) % 2:
+        edge = np.concatenate([edge, [len(data)]])
+    start, end = edge[0::2], edge[1::2]
+    out = np.empty(len(start), np.uint64)
+    at = 0
+    while at < len(start):
+        stop = max(at + 1, int(np.searchsorted(end, start[at] + _SEGMENT, side="right")))
+        low, high = int(start[at]), int(end[stop - 1])
+        power, inverse = _tables(max(_SEGMENT, high - low))
+        sums = np.zeros(high - low + 1, np.uint64)
+        np.cumsum((data[low:high].astype(np.uint64) + np.uint64(1)) * power[:high - low], out=sums[1:])
+        first, last = start[at:stop] - low, end[at:stop] - low
+        out[at:stop] = mix64((sums[last] - sums[first]) * inverse[first] + (last - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        at = stop
+    return start, out
 
 
 _SHIPPED: dict[str, str] = {}

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from railweave.functions.runtime import materialise
-from railweave.llm.common import WordHashes, mix64, scan
+from railweave.llm.common import mix64, scan, word_hashes
 
 REGISTERS, BAND, SHINGLE = 192, 4, 5
 #: Registers take values 0..LEVELS on a scale of powers of BASE; RATE shifts the scale.
@@ -35,41 +35,63 @@ MARGIN = 6 * (0.75 * 0.25 / REGISTERS) ** 0.5
 #: Members of one block of a bucket that is compared in full, and bytes of shingle hashes there.
 BLOCK = 512
 
-_WORDS = WordHashes()
 _RNG = np.random.default_rng(20240229)
-_FACTOR = _RNG.integers(0, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SHIFT = _RNG.integers(0, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2)
+_FLIP = _RNG.integers(0, 2**32, REGISTERS, dtype=np.uint32)[:, None]
+_FACTOR = (_RNG.integers(0, 2**31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
 _ORDER = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
-def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of the word shingles of a whole text.
+def shingle_sets_of(texts: list[str | None], shingle: int = SHINGLE) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the word shingles of whole texts.
 
     Words are what white space separates, A-Z lower-cased; a shorter text is one
     shingle, a text without words has none.
     """
-    words = text.encode().lower().split() if text else []
-    if not words:
-        return np.empty(0, np.uint64)
-    hashes = _WORDS.of(words)
-    width = min(shingle, len(words))
-    count = len(words) - width + 1
-    total = np.full(count, width, np.uint64)
-    for k in range(width):
-        total = mix64(total * _ORDER[k % len(_ORDER)] + hashes[k:k + count])
-    return np.unique(total)
+    coded = [x.encode().lower() if x else b"" for x in texts]
+    begin = np.cumsum([0, *(len(x) + 1 for x in coded)])
+    start, hashes = word_hashes(b"\n".join(coded))
+    word = np.searchsorted(start, begin)
+    total = np.full(max(0, len(hashes) - shingle + 1), shingle, np.uint64)
+    for k in range(shingle if len(total) else 0):
+        total += hashes[k:k + len(total)] * _ORDER[k % len(_ORDER)]
+    total = mix64(total)
+    out = []
+    for a, b in zip(word[:-1], word[1:], strict=True):
+        if b - a >= shingle:
+            values = np.sort(total[a:b - shingle + 1])
+            fresh = np.ones(len(values), bool)
+            np.not_equal(values[1:], values[:-1], out=fresh[1:])
+            out.append(values[fresh])
+        elif b > a:
+            one = np.full(1, b - a, np.uint64)
+            for k in range(b - a):
+                one += hashes[a + k:a + k + 1] * _ORDER[k]
+            out.append(mix64(one))
+        else:
+            out.append(np.empty(0, np.uint64))
+    return out
 
 
 def registers(hashes: np.ndarray) -> np.ndarray:
     """SetSketch of a set of hashes; all zero for the empty set."""
-    if not len(hashes):
-        return np.zeros(REGISTERS, np.uint16)
-    least = np.full(REGISTERS, np.iinfo(np.uint64).max, np.uint64)
-    for start in range(0, len(hashes), 1024):
-        part = hashes[start:start + 1024]
-        np.minimum(least, (part[None, :] * _FACTOR[:, None] + _SHIFT[:, None]).min(axis=1), out=least)
-    waiting = -np.log1p(-(least.astype(np.float64) + 0.5) / 2.0**64) / RATE
-    return np.clip(np.floor(1 - np.log(np.maximum(waiting, 1e-300)) / np.log(BASE)), 0, LEVELS).astype(np.uint16)
+    return _levels(_minima(hashes)[None, :])[0] if len(hashes) else np.zeros(REGISTERS, np.uint16)
+
+
+def _minima(hashes: np.ndarray) -> np.ndarray:
+    """The smallest of the set's hash values, for each register."""
+    half = (hashes >> np.uint64(32)).astype(np.uint32)
+    least = []
+    for k in range(0, len(half), 256):
+        values = np.bitwise_xor(half[None, k:k + 256], _FLIP)
+        values *= _FACTOR
+        least.append(values.min(axis=1))
+    return np.min(least, axis=0)
+
+
+def _levels(least: np.ndarray) -> np.ndarray:
+    """Truncated exponential scale of minima of uniform values."""
+    waiting = -np.log1p(-(least.astype(np.float64) + 0.5) / 2.0**32) / RATE
+    return np.clip(np.floor(1 - np.log(waiting) / np.log(BASE)), 0, LEVELS).astype(np.uint16)
 
 
 def merge_registers(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -110,15 +132,14 @@ def sketch(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         import xxhash
 
-        sizes, k1, k2, regs = [], [], [], []
-        for value in batch.column(1).to_pylist():
-            hashes = shingle_set(value)
-            digest = np.frombuffer(xxhash.xxh3_128_digest(hashes.tobytes()), np.int64)
-            sizes.append(len(hashes))
-            k1.append(int(digest[0]))
-            k2.append(int(digest[1]))
-            regs.append(registers(hashes).tobytes() if len(hashes) else None)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(regs, pa.binary())],
+        sets = shingle_sets_of(batch.column(1).to_pylist())
+        digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in sets), np.int64).reshape(-1, 2)
+        filled = [k for k, x in enumerate(sets) if len(x)]
+        regs: list[bytes | None] = [None] * len(sets)
+        if filled:
+            for k, levels in zip(filled, _levels(np.stack([_minima(sets[k]) for k in filled])), strict=True):
+                regs[k] = levels.tobytes()
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()), pa.array(regs, pa.binary())],
                                           ["doc_id", "n_shingles", "k1", "k2", "regs"])
 
     return scan(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), run, "doc_id long, n_shingles long, k1 long, k2 long, regs binary")
@@ -127,7 +148,7 @@ def sketch(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 def shingle_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id and its sorted shingle hashes as 64-bit words."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(x).tobytes() for x in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "hashes"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in shingle_sets_of(batch.column(1).to_pylist())], pa.binary())], ["doc_id", "hashes"])
 
     return scan(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), run, "doc_id long, hashes binary")
 
@@ -315,7 +336,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     comp = materialise(components(star_links), "components")
     labelled = shared.join(comp, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
-    mixed = labelled.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket")
+    # two members have been compared with each other already
+    mixed = labelled.filter("size > 2").groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket")
     contended = (labelled.join(mixed, "bucket", "left_semi")
                  .join(nodes.select("doc_id", "regs"), "doc_id").join(full, "doc_id"))
     more = materialise(_contended_links(contended), "links")
