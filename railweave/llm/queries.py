@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from railweave.llm import decontaminate, language_id, line_dedup, mixing, near_dedup, quality_gbt, token_files
+from railweave.llm import decontaminate, language_id, line_dedup, mixing, near_dedup, quality_gbt, token_files, unit_dedup
 from railweave.llm.common import ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.copies(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+@query("op1_unit_hash_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unit_dedup.repeats(table(spark, sf_dir, "documents"))
