@@ -349,3 +349,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     out = rows.select("doc_id", "n_shingles").join(label, "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents, all columns as they were, of which none is linked to one with a smaller doc_id.
+
+    Rows without doc_id stay. Rows that repeat a doc_id stay or go together.
+    """
+    gone = near_duplicates(docs, doc_id, text).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs[doc_id].cast("long") == F.col("_gone"), "left_anti")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from railweave.llm import decontaminate, language_id, line_dedup, mixing, near_dedup, quality_gbt, token_files, unit_dedup
+from railweave.llm import decontaminate, language_id, line_dedup, lm_scoring, mixing, near_dedup, pseudonyms, quality_gbt, token_files, unit_dedup
 from railweave.llm.common import ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,18 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_unit_hash_dedup")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unit_dedup.repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op2_cross_entropy_difference")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return lm_scoring.score(docs, lm_scoring.fit(docs, labels.filter("quality = 1")))
+
+
+#: Stands for a secret that a real job gets from its key store.
+EXAMPLE_KEY = b"example key, not a secret"
+
+
+@query("op4_feistel_pseudonyms")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymised(table(spark, sf_dir, "documents"), EXAMPLE_KEY)
