@@ -119,7 +119,8 @@ def calibrate(model: Model, samples: list[tuple[str, np.ndarray, np.ndarray]]) -
     score, right = chance.max(axis=1), chance.argmax(axis=1) == truth
     order = np.argsort(-score)
     share_right = np.cumsum(right[order]) / np.arange(1, len(order) + 1)
-    good = np.flatnonzero(share_right >= ACCEPTED_RIGHT)
+    whole = np.append(np.diff(score[order]) < 0, True)  # equal scores are accepted together
+    good = np.flatnonzero((share_right >= ACCEPTED_RIGHT) & whole)
     lowest = good[-1] if len(good) else 0
     # if even the last one may be accepted, nothing that is at least as likely as any other guess is rejected
     model.threshold = 1 / len(model.langs) if lowest == len(order) - 1 else float(score[order[lowest]])
