@@ -7,16 +7,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-MAX_BROADCAST_BYTES = 64 * 1024 * 1024
-
 
 def scratch_root(spark: SparkSession) -> str:
     """Folder shared by all executors, as named by ``spark.checkpoint.dir``.
 
-    Only where the setting is missing (local tests) a local folder is made.
+    Where the setting is missing, a local folder is made for a local session (tests);
+    on a cluster its executors would not share it, so that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="railweave-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root

@@ -140,7 +140,7 @@ def preview(c: str | Column, chars: int = fv.PREVIEW_CHARS) -> Column:
 def delay_minutes(c: str | Column) -> Column:
     """Delay in any written form to minutes, never negative."""
     t = F.trim(col(c).cast("string"))
-    number = F.try_to_number(F.regexp_extract(t, r"(\d+)", 1), F.lit("999999999")).cast("int")
+    number = F.regexp_extract(t, r"(\d+)", 1).try_cast("bigint")
     signed = t.rlike(r"^-\d+(\.\d+)?$")
     return (F.when(t.isNull() | (t == "") | F.lower(t).isin("on time", "right time") | signed, F.lit(0))
             .otherwise(F.coalesce(number, F.lit(0))))
@@ -173,4 +173,4 @@ def entity_numbers(c: str | Column) -> Column:
 def title_case(c: str | Column) -> Column:
     """Lower case with a capital after every character that is not a letter."""
     words = F.split(F.lower(col(c)), r"(?<=[^\p{L}])(?=\p{L})")
-    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1_000_000))), "")
+    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2)))), "")

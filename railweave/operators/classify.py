@@ -116,9 +116,10 @@ def classify_questions(questions: DataFrame, vocabulary: DataFrame, key: str = "
     """Intent, category, confidence, entities and reasons per question.
 
     Classification depends on the text alone, so it runs once per distinct text.
-    A text that many questions share is merged before it is shuffled.
+    A text that many questions share is merged before it is shuffled. A question
+    without a text is classified as an empty one.
     """
-    texts = questions.select(text).distinct()
+    texts = questions.select(F.coalesce(F.col(text), F.lit("")).alias(text)).distinct()
     prepared = score_intent(count_keywords(match_patterns(extract_entities(has_station(texts, vocabulary, text, text), text), text), text), text)
     matched = F.col("pattern_category").isNotNull()
     category = F.coalesce("pattern_category", "category")
@@ -131,7 +132,8 @@ def classify_questions(questions: DataFrame, vocabulary: DataFrame, key: str = "
         F.when(~off, F.col("station_code")).alias("station_code"),
         F.when(is_pnr, F.col("pnr")).alias("pnr"), is_pnr.alias("is_pnr"),
         F.when(matched, F.array(F.concat(F.lit("Pattern match → "), category))).otherwise(F.col("reasons")).alias("reasons"))
-    return questions.join(result, text)
+    same = F.coalesce(questions[text], F.lit("")) == F.col("_text")
+    return questions.join(result.withColumnRenamed(text, "_text"), same).drop("_text")
 
 
 def session_upgrade(df: DataFrame, text: str = "question", own: str = "train_no", carried: str = "session_train") -> DataFrame:

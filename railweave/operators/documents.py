@@ -114,14 +114,16 @@ def parse_stops(df: DataFrame, schema: str, column: str = "stops") -> DataFrame:
 
 def route_documents(routes: DataFrame, stations: DataFrame, trains: DataFrame, order: str = "row_id",
                     max_trains: int | None = None) -> DataFrame:
-    """Per train: ends, station sequence and per-stop schedule. Trains need two stops or more.
+    """Per route row: ends, station sequence and per-stop schedule. Trains need two stops or more.
 
+    Rows that share a train number stay apart, also equal ones; the id takes in the row.
     ``max_trains`` keeps the first rows by ``order``, for callers that want a bounded load.
     """
     if max_trains:
         routes = routes.orderBy(order).limit(max_trains)
+    routes = routes.withColumn("_row", F.concat_ws("-", F.xxhash64(*routes.columns), F.xxhash64(F.lit(1), *routes.columns)))
     parsed = parse_stops(routes, DECODED_STOPS).where(tx.clean("train_number").isNotNull() & (F.size("stops") >= 2))
-    stops = parsed.select("train_number", F.posexplode("stops").alias("pos", "_stop")).select("train_number", "pos", "_stop.*")
+    stops = parsed.select("_row", F.posexplode("stops").alias("pos", "_stop")).select("_row", "pos", "_stop.*")
     stops = label_stops(stops.withColumn("station_code", F.coalesce("station_code", F.lit("?"))), stations)
     clock = lambda c: tx.clean(c, tokens=fv.NULL_TOKENS + ("N/A", "First", "Last"))
     value = lambda c, zero: tx.clean(c, tokens=fv.NULL_TOKENS + ("N/A", zero))
@@ -132,10 +134,10 @@ def route_documents(routes: DataFrame, stations: DataFrame, trains: DataFrame, o
         F.concat(F.lit("halt "), value("halt_minutes", "0"), F.lit(" min")),
         F.concat(value("distance_km", "0.0"), F.lit(" km")))
     shown = F.coalesce("is_stopping", F.lit(True))
-    rows = stops.select("train_number", F.struct("pos", "station_code", "station_label", shown.alias("shown"),
-                                                 line.alias("line")).alias("s"))
-    per_train = rows.groupBy("train_number").agg(F.array_sort(F.collect_list("s")).alias("all_stops"))
-    joined = running_days_join(parsed, trains, order).join(per_train, "train_number")
+    rows = stops.select("_row", F.struct("pos", "station_code", "station_label", shown.alias("shown"), line.alias("line")).alias("s"))
+    # equal rows have equal stops, which count once
+    per_row = rows.groupBy("_row").agg(F.array_sort(F.collect_set("s")).alias("all_stops"))
+    joined = running_days_join(parsed, trains, order).join(per_row, "_row")
     stopping = F.filter("all_stops", lambda s: s["shown"])
     first, last = F.element_at("all_stops", 1), F.element_at("all_stops", -1)
     name = _optional(routes, "train_name", "title")
@@ -149,7 +151,7 @@ def route_documents(routes: DataFrame, stations: DataFrame, trains: DataFrame, o
         tx.if_present(_optional(routes, "total_distance_km"), " Total distance: ", " km."),
         F.lit(" Station sequence: "), F.array_join(F.transform(stopping, lambda s: s["station_label"]), " > "),
         F.lit("."), tx.part(F.size(lines) > 0, " Schedule: ", F.array_join(lines, " | "), "."))
-    return _document(joined, "train_routes", "train_route", content, [F.col("train_number")],
+    return _document(joined, "train_routes", "train_route", content, [F.col("train_number"), F.col("_row")],
                      train_no=F.col("train_number"), train_name=name, source_station=first["station_code"],
                      destination_station=last["station_code"],
                      total_stops=F.coalesce(F.when(total.rlike(r"^\d+$"), total.cast("int")), F.size("all_stops")),

@@ -73,11 +73,11 @@ def page_lines(html: str | Column) -> Column:
     return F.filter(F.transform(F.split(plain, r"\r\n|\n|\r"), lambda x: F.trim(x)), lambda x: x != "")
 
 
-def parse_status_page(df: DataFrame, key: str = "train_no", html: str = "payload") -> DataFrame:
-    """HTML status page to the record of ``normalise_status``."""
+def parse_status_page(df: DataFrame, key: str = "train_no", html: str = "payload", name_lines: int = 10) -> DataFrame:
+    """HTML status page to the record of ``normalise_status``; the name is sought in the first ``name_lines`` lines."""
     lines = F.col("lines")
     number = F.col(key)
-    named = F.filter(F.slice(lines, 1, 10), lambda x: F.contains(x, number) & F.contains(x, F.lit("-")))
+    named = F.filter(F.slice(lines, 1, name_lines), lambda x: F.contains(x, number) & F.contains(x, F.lit("-")))
     name = F.trim(F.replace(F.replace(F.get(named, F.lit(0)), number, F.lit("")), F.lit("-"), F.lit("")))
     hit = F.filter(lines, lambda x: F.lower(x).rlike("^(" + "|".join(fv.STATUS_PREFIXES) + ")") | F.contains(F.lower(x), F.lit("delay")))
     late = F.filter(lines, lambda x: F.lower(x).rlike("departed from|arrived at"))
@@ -90,7 +90,8 @@ def parse_status_page(df: DataFrame, key: str = "train_no", html: str = "payload
     delay = F.coalesce(hours.cast("int") * 60 + minutes.cast("int"), plain.cast("int"), F.lit(0))
     at = F.trim(F.regexp_extract(ph, r"(?i)(?:Departed from|Arrived at|Expected arrival at|Expected departure at)\s+([^(]+)", 1))
 
-    blocks = F.slice(F.split(F.col(html), r'<div[^>]*style="[^"]*display:flex[^"]*"[^>]*>'), F.lit(2), F.lit(1_000_000))
+    blocks = F.split(F.col(html), r'<div[^>]*style="[^"]*display:flex[^"]*"[^>]*>')
+    blocks = F.slice(blocks, F.lit(2), F.size(blocks))
 
     def stop(b):
         cell = lambda c: F.trim(strip_tags(c))
@@ -116,12 +117,16 @@ def parse_status_page(df: DataFrame, key: str = "train_no", html: str = "payload
         F.lit(0).alias("progress_percent"), timeline.cast(TIMELINE).alias("stations_timeline"), "fetched_at")
 
 
-def parse_schedule_text(df: DataFrame, key: str = "train_no", text: str = "payload") -> DataFrame:
-    """Plain schedule text: a record without a live position. Blank texts are dropped."""
+def parse_schedule_text(df: DataFrame, key: str = "train_no", text: str = "payload", chars: int | None = None) -> DataFrame:
+    """Plain schedule text: a record without a live position. Blank texts are dropped.
+
+    ``chars`` cuts the text, by default it is whole.
+    """
+    whole = F.col(text) if chars is None else F.substring(text, 1, chars)
     return df.where(F.trim(text) != "").select(
         F.lit(True).alias("success"), F.lit("erail.in").alias("source"), F.col(key).alias("train_no"),
         F.lit("").alias("train_name"), F.lit("").alias("current_station"), F.lit(0).alias("delay_minutes"),
-        F.lit(fv.SCHEDULE_ONLY).alias("status"), F.substring(text, 1, fv.PREVIEW_CHARS).alias("raw_schedule"), "fetched_at")
+        F.lit(fv.SCHEDULE_ONLY).alias("status"), whole.alias("raw_schedule"), "fetched_at")
 
 
 def first_success(df: DataFrame, keys, priority: str = "priority", success: str = "success",
@@ -141,13 +146,14 @@ def latest_within_ttl(requests: DataFrame, observations: DataFrame, ttl_seconds:
 
     Both sides are put in one time line per key and the last observation is
     carried forward: linear in the rows, whatever number of observations a key has.
+    Of observations at one instant the one with the greatest hash counts.
     """
     obs = observations.select(key, F.col(at), F.lit(0).alias("_kind"), F.lit(None).cast(requests.schema[request_id].dataType).alias(request_id),
-                              F.struct(F.col(at).alias("fetched_at"), F.col(value).alias("v")).alias("_obs"))
+                              F.struct(F.col(at).alias("fetched_at"), F.col(value).alias("v")).alias("_obs"), F.xxhash64(value).alias("_tie"))
     req = requests.select(key, at, F.lit(1).alias("_kind"), request_id,
-                          F.lit(None).cast(obs.schema["_obs"].dataType).alias("_obs"))
+                          F.lit(None).cast(obs.schema["_obs"].dataType).alias("_obs"), F.lit(0).cast("bigint").alias("_tie"))
     line = obs.unionByName(req).withColumn("_chunk", hour_chunk(at))
-    seen = carry_last(line, key, [at, "_kind", request_id], "_obs", "_chunk", "_last").where(F.col("_kind") == 1)
+    seen = carry_last(line, key, [at, "_kind", "_tie", request_id], "_obs", "_chunk", "_last").where(F.col("_kind") == 1)
     micros = F.unix_micros(F.col(at).cast("timestamp")) - F.unix_micros(F.col("_last.fetched_at").cast("timestamp"))
     fresh = micros < ttl_seconds * 1_000_000
     return seen.select(key, request_id, at, F.when(fresh, F.col("_last.v")).alias(value),
@@ -219,7 +225,7 @@ def _first(m: Column, *names: str) -> Column:
 
 
 def _as_int(c: Column) -> Column:
-    return F.when(c.rlike(r"^\d{1,9}$"), c.cast("int"))
+    return F.when(c.rlike(r"^\d+$"), c.try_cast("bigint"))
 
 
 def normalise_booking(df: DataFrame, key: str = "pnr", payload: str = "payload") -> DataFrame:

@@ -43,17 +43,20 @@ def route_collections(text: str | Column) -> Column:
 
 
 # ------------------------------------------------------------------- exact lookup
-def exact_lookup(questions: DataFrame, documents: DataFrame, text: str = "question", per_number: int = fv.EXACT_PER_NUMBER,
+def exact_lookup(questions: DataFrame, documents: DataFrame, text: str = "question", per_number: int | None = None,
                  collections=("trains", "train_routes"), pattern: str = r"\b(\d{5})\b") -> DataFrame:
-    """Documents of every train number in a question; at most five per number and collection, score 1.
+    """Documents of every train number in a question, score 1; ``per_number`` limits them per number and collection.
 
-    The limit is applied to the documents before the join, so a train with many
-    documents is cut where they are stored.
+    Only documents of asked numbers are ordered. A limit is applied to them before
+    the join, so a train with many documents is cut where they are stored.
     """
+    numbers = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1))
+    wanted = questions.select(F.explode(numbers).alias("train_no")).distinct()
     w = W.partitionBy("collection", "train_no").orderBy("doc_id")
     docs = (documents.where(F.col("collection").isin(*collections)).select("collection", "train_no", "doc_id")
-            .withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_number))
-    numbers = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1))
+            .join(wanted, "train_no", "left_semi").withColumn("n", F.row_number().over(w)))
+    if per_number is not None:
+        docs = docs.where(F.col("n") <= per_number)
     asked = questions.select("question_id", F.posexplode(numbers).alias("pos", "train_no"))
     order = F.array_position(F.array(*[F.lit(c) for c in collections]), F.col("collection"))
     rank = F.row_number().over(W.partitionBy("question_id").orderBy("c", "pos", "n")) - 1
@@ -127,14 +130,20 @@ def keyword_join(documents: DataFrame, stations: DataFrame, collections=("train_
     return keyword_score(hits).select("code", "term_no", "term", "collection", "doc_id", "tf", "both_terms", "score", "same_case")
 
 
+#: Slices of the id range that are ranked apart.
+SLICES = 64
+
+
 def rank_postings(scored: DataFrame) -> DataFrame:
     """Rank of a document in the list of its (station, term, collection), and the list sizes.
 
-    The ids are hashes, so their leading bits cut a very common station into
-    slices that are ranked apart.
+    The range of the ids is cut into equal slices that are ranked apart, so a very
+    common station is not ranked in one piece.
     """
     keys = ["code", "collection", "term_no"]
-    sliced = scored.withColumn("_slice", F.shiftright("doc_id", 58))
+    ends = scored.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).first()
+    low, width = ends["a"] or 0, ((ends["b"] or 0) - (ends["a"] or 0)) // SLICES + 1
+    sliced = scored.withColumn("_slice", F.floor((F.col("doc_id").cast("decimal(20,0)") - F.lit(low)) / F.lit(width)).cast("int"))
     return dense_position(sliced, keys, "doc_id", "_slice", "pos").drop("_slice")
 
 
@@ -158,12 +167,18 @@ def rrf_scores(ranked: DataFrame, keys=("question_id", "prefix"), k: int = fv.RR
                  F.max("score").alias("score"), F.min(first).alias("first_seen")))
 
 
-def rrf_fuse(ranked: DataFrame, documents: DataFrame, k: int = fv.RRF_K, prefix_len: int = fv.DEDUPE_PREFIX) -> DataFrame:
+def _same_text(text: str, prefix_len: int | None) -> Column:
+    """What texts that count as one have in common."""
+    return F.sha2(text, 256) if prefix_len is None else F.substring(text, 1, prefix_len)
+
+
+def rrf_fuse(ranked: DataFrame, documents: DataFrame, k: int = fv.RRF_K, prefix_len: int | None = None) -> DataFrame:
     """Fused order per question over ranked lists (see ``union_ranked``).
 
-    Documents that share their first ``prefix_len`` characters count as one.
+    Documents of equal content count as one; with ``prefix_len``, those that share
+    so many first characters.
     """
-    prefix = documents.select("doc_id", F.substring("content", 1, prefix_len).alias("prefix"))
+    prefix = documents.select("doc_id", _same_text("content", prefix_len).alias("prefix"))
     fused = rrf_scores(ranked.join(prefix, "doc_id"), k=k)
     w = W.partitionBy("question_id").orderBy(F.desc("rrf"), "first_seen")
     return (fused.withColumn("rank", F.row_number().over(w) - 1)
@@ -171,10 +186,10 @@ def rrf_fuse(ranked: DataFrame, documents: DataFrame, k: int = fv.RRF_K, prefix_
 
 
 def dedupe_prefix(df: DataFrame, key: str = "question_id", order: str = "rank", text: str = "content",
-                  prefix_len: int = fv.DEDUPE_PREFIX) -> DataFrame:
-    """First row per text prefix. ``min_by`` keeps one row per prefix before the shuffle."""
+                  prefix_len: int | None = None) -> DataFrame:
+    """First row per text, or per text prefix. ``min_by`` keeps one row of each before the shuffle."""
     row = F.struct(*df.columns)
-    return (df.groupBy(key, F.substring(text, 1, prefix_len).alias("_p")).agg(F.min_by(row, order).alias("r"))
+    return (df.groupBy(key, _same_text(text, prefix_len).alias("_p")).agg(F.min_by(row, order).alias("r"))
             .select("r.*"))
 
 
@@ -233,30 +248,28 @@ def drop_wrong_stations(candidates: DataFrame, stations: str = "stations") -> Da
                             | (F.col("station_code") == "") | named)
 
 
-def between_stations(stops: DataFrame, pairs: DataFrame, short: int = 32) -> DataFrame:
+def between_stations(stops: DataFrame, pairs: DataFrame) -> DataFrame:
     """Trains that serve ``origin`` before ``target``.
 
-    A train counts by the first place of each station. For trains with up to
-    ``short`` stations (most of them) the few ordered pairs of the train are
-    looked up among the asked ones. For longer trains the asked pairs lead: from
-    the origin's stops to the target's stop of the same train. So neither a long
-    train nor a busy station forms all its pairs.
+    A train counts by the first place of each station. A pair starts at that of its
+    ends where fewer trains stop, and looks up the other end by train and station, so
+    neither a long train nor a busy station forms all its pairs.
     """
-    first = stops.groupBy("train_no", "station_code").agg(F.min("seq").alias("seq"))
-    size = first.groupBy("train_no").agg(F.count(F.lit(1)).alias("n"))
-    sized = first.join(size, "train_no")
     asked = pairs.select("origin", "target").distinct()
+    named = asked.select(F.col("origin").alias("station_code")).unionByName(asked.select(F.col("target").alias("station_code"))).distinct()
+    first = stops.join(named, "station_code", "left_semi").groupBy("train_no", "station_code").agg(F.min("seq").alias("seq"))
+    trains = first.groupBy("station_code").agg(F.count(F.lit(1)).alias("n"))
+    ends = (asked.join(trains.select(F.col("station_code").alias("origin"), F.col("n").alias("n_from")), "origin")
+            .join(trains.select(F.col("station_code").alias("target"), F.col("n").alias("n_to")), "target"))
+    rare = F.when(F.col("n_from") <= F.col("n_to"), F.col("origin")).otherwise(F.col("target"))
+    begun = ends.select("origin", "target", rare.alias("station_code"), F.when(rare == F.col("origin"), F.col("target")).otherwise(F.col("origin")).alias("other"))
+    begun = begun.join(first, "station_code").select("origin", "target", "train_no", F.col("seq").alias("seq_rare"), F.col("station_code").alias("rare"), F.col("other").alias("station_code"))
+    met = begun.join(first, ["train_no", "station_code"])
+    from_rare = F.col("rare") == F.col("origin")
+    return (met.select("origin", "target", "train_no", F.when(from_rare, F.col("seq_rare")).otherwise(F.col("seq")).alias("from_seq"),
+                       F.when(from_rare, F.col("seq")).otherwise(F.col("seq_rare")).alias("to_seq"))
+            .where(F.col("from_seq") < F.col("to_seq")))
 
-    def ends(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-        return (df.select("train_no", F.col("station_code").alias("origin"), F.col("seq").alias("from_seq")),
-                df.select("train_no", F.col("station_code").alias("target"), F.col("seq").alias("to_seq")))
-
-    a, b = ends(sized.where(F.col("n") <= short))
-    near = a.join(b, "train_no").where(F.col("from_seq") < F.col("to_seq")).join(asked, ["origin", "target"])
-    a, b = ends(sized.where(F.col("n") > short))
-    far = asked.join(a, "origin").join(b, ["train_no", "target"]).where(F.col("from_seq") < F.col("to_seq"))
-    columns = ["origin", "target", "train_no", "from_seq", "to_seq"]
-    return near.select(*columns).unionByName(far.select(*columns))
 
 
 def enrich_route_names(candidates: DataFrame, documents: DataFrame, score: float = 0.95) -> DataFrame:

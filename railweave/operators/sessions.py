@@ -53,6 +53,7 @@ def _sequential(df: DataFrame, keys: list[str], order: list[str], fresh_state: C
             results = []
             key_rows = zip(*[pdf[k] for k in keys])
             for key, values in zip(key_rows, zip(*[pdf[c] for c in read])):
+                key = tuple(None if pd.isna(k) else k for k in key)  # numeric NULL keys arrive as NaN
                 if key != current:
                     current, state = key, fresh_state()
                 results.append(step(state, *values))

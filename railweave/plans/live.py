@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from railweave import fixed_values as fv
 from railweave.functions import text as tx
 from railweave.operators import live as lv
 from railweave.plans.registry import query
@@ -241,7 +242,13 @@ def _(r):
 def _(r):
     texts = r.conversations.select(F.concat_ws("-", "conv_id", "turn").alias("train_no"), F.when(F.col("role") != "system", F.col("text")).otherwise("  ").alias("payload"),
                                    F.lit(None).cast("timestamp").alias("fetched_at"))
-    return lv.parse_schedule_text(texts).select("train_no", "status", "raw_schedule")
+    return lv.parse_schedule_text(texts, chars=fv.PREVIEW_CHARS).select("train_no", "status", "raw_schedule")
+
+
+@query("live14_schedule_whole_text", "SELECT conv_id || '-' || turn AS train_no, text AS raw_schedule FROM {conversations} WHERE trim(text) <> ''")
+def _(r):
+    texts = r.conversations.select(F.concat_ws("-", "conv_id", "turn").alias("train_no"), F.col("text").alias("payload"), F.lit(None).cast("timestamp").alias("fetched_at"))
+    return lv.parse_schedule_text(texts).select("train_no", "raw_schedule")
 
 
 @query("live15_valid_key", """

@@ -109,7 +109,7 @@ def _lists(r):
     """Exact and vector lists of the search questions over all documents."""
     docs = r.search_docs()
     p = prepared(r).withColumn("active", rt.route_collections("expanded"))
-    exact = rt.exact_lookup(r.asked(), docs)
+    exact = rt.exact_lookup(r.asked(), docs, per_number=fv.EXACT_PER_NUMBER)
     near = vc.vector_topk(vc.hashed_embedding(p.select("question_id", "search_text"), "search_text"), r.embedded_docs())
     active = near.join(p.select("question_id", "active"), "question_id").where(F.array_contains("active", F.col("collection")))
     semantic = vc.merge_topk(active).withColumn("source", F.lit("semantic"))
@@ -133,12 +133,18 @@ def _(r):
 def _(r):
     """The exact list counts twice, so repeats across lists add up."""
     docs, exact, semantic = _lists(r)
-    return rt.rrf_fuse(rt.union_ranked(exact, semantic, exact), docs)
+    return rt.rrf_fuse(rt.union_ranked(exact, semantic, exact), docs, prefix_len=fv.DEDUPE_PREFIX)
 
 
 @query("ret08_dedupe_prefix", """
     SELECT lang, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY lang, substr(text, 1, 100) ORDER BY doc_id) AS n FROM {documents}) WHERE n = 1""")
 def _(r):
+    return rt.dedupe_prefix(r.documents.select("lang", "doc_id", "text"), "lang", "doc_id", "text", prefix_len=fv.DEDUPE_PREFIX).select("lang", "doc_id")
+
+
+@query("ret08_dedupe_text", "SELECT lang, min(doc_id) AS doc_id FROM {documents} GROUP BY lang, text")
+def _(r):
+    """Whole texts: equal beginnings alone do not make two documents one."""
     return rt.dedupe_prefix(r.documents.select("lang", "doc_id", "text"), "lang", "doc_id", "text").select("lang", "doc_id")
 
 
@@ -247,13 +253,12 @@ def _(r):
 @query("ret12_context_budget_texts", """
     SELECT grp AS question_id, count(*) AS documents, cast(sum(length(text)) as bigint) AS chars
     FROM (SELECT *, sum(length(text)) OVER (PARTITION BY grp ORDER BY n ROWS UNBOUNDED PRECEDING) AS total FROM (
-            SELECT lang || source AS grp, text, row_number() OVER (PARTITION BY lang || source ORDER BY doc_id) AS n FROM {documents}) WHERE n <= 25)
-    WHERE total <= 12000 OR n = 1 GROUP BY grp""")
+            SELECT lang || source AS grp, text, row_number() OVER (PARTITION BY lang || source ORDER BY doc_id) AS n FROM {documents})) WHERE total <= 12000 OR n = 1 GROUP BY grp""")
 def _(r):
     """Long texts: the budget cuts, and a first text beyond the budget stays."""
     docs = r.documents.select(F.concat("lang", "source").alias("question_id"), "doc_id", F.col("text").alias("content"), F.lit(True).alias("has_entity"),
                               F.lit("railway_rules").alias("collection"), F.lit(1.0).alias("score"))
-    kept = rt.context_budget(rt.limit_results(docs, order=("doc_id",)))
+    kept = rt.context_budget(docs, order="doc_id")
     blocks = F.transform(F.split("context", "\n\n---\n\n\\[Doc "), lambda b: F.length(F.regexp_replace(b, r"^(\[Doc )?\d+ \| railway_rules \| relevance: 1\.0\]\n", "")))
     return kept.select("question_id", "documents", F.aggregate(blocks, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("chars"))
 

@@ -106,9 +106,12 @@ def missing_rows(new: DataFrame, stored: DataFrame, key) -> DataFrame:
 
 def append_missing(df: DataFrame, root: str, key=("collection", "doc_id")) -> DataFrame:
     """Append what is not stored yet; running it twice changes nothing. Returns the appended rows."""
-    spark = df.sparkSession
+    collections = [r[0] for r in df.select("collection").distinct().collect()]
+    if not collections:  # an empty batch leaves nothing behind
+        return df
     try:
-        stored = spark.read.parquet(root)
+        # the batch's schema, as a store may hold no file yet; only the batch's collections are read
+        stored = df.sparkSession.read.schema(df.schema).parquet(root).where(F.col("collection").isin(*[c for c in collections if c is not None]) | F.col("collection").isNull())
     except AnalysisException as error:
         if not _missing(error):
             raise
