@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows that one step of a scan holds in Python; longer Arrow batches are cut.
 BATCH_ROWS = 1024
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,10 +45,34 @@ def scan(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]
     def run(batches):
         for part in slices(batches, text):
             yield fn(part)
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Return freed memory to the system, as a worker lives on after its task."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def hash_cut(df: DataFrame, key: str, n: int) -> Column:
+    """Condition that at most n rows meet, those whose hashed keys come first.
+
+    The share of rows that may matter is known from their count, so only about n
+    hashes are ordered, whatever the size of the table.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(1 << 53))
+    total = df.count()
+    share = 1 << 53 if total <= 2 * n else int((1 << 53) * 2 * n / total)
+    first = df.select(place.alias("h")).filter(F.col("h") < share).orderBy("h").limit(n + 1).agg(F.max("h").alias("h"), F.count(F.lit(1)).alias("n")).first()
+    return place < (first["h"] if first["n"] > n else share)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads all bits of 64-bit words."""
     x = x ^ (x >> np.uint64(30))

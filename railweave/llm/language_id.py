@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from railweave.llm.common import scan
+from railweave.llm.common import hash_cut, scan
 
 UNKNOWN = "und"
 BUCKETS, DIMENSIONS = 1 << 15, 16
@@ -128,7 +128,7 @@ def calibrate(model: Model, samples: list[tuple[str, np.ndarray, np.ndarray]]) -
 
 
 def _samples(docs: DataFrame, n: int) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """Subword counts of the n documents whose hashed ids come first."""
+    """Subword counts of at most n documents, those whose hashed ids come first; texts without letters drop out."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         kept, counts = [], []
         for text in batch.column("text").to_pylist():
@@ -137,7 +137,7 @@ def _samples(docs: DataFrame, n: int) -> list[tuple[str, np.ndarray, np.ndarray]
             counts.append(count.astype(np.uint32).tobytes())
         return pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(kept, pa.binary()), pa.array(counts, pa.binary())], ["lang", "found", "count"])
 
-    chosen = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).select("lang", "text")
+    chosen = docs.filter(hash_cut(docs.select("doc_id"), "doc_id", n)).filter(F.col("text").rlike(r"\p{L}")).select("lang", "text")
     out = []
     for row in scan(chosen, run, "lang string, found binary, count binary").collect():
         found, count = np.frombuffer(row["found"], np.uint16).astype(np.int64), np.frombuffer(row["count"], np.uint32).astype(np.float64)
@@ -149,7 +149,7 @@ def _samples(docs: DataFrame, n: int) -> list[tuple[str, np.ndarray, np.ndarray]
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", train_docs: int = TRAIN_DOCS, calibration_docs: int = CALIBRATION_DOCS) -> Model:
     """Learn from labelled documents that are not held out; a quarter of them by id calibrates."""
     labelled = (docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-                .filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id"))))
+                .filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))))
     last = F.crc32(F.col("doc_id").cast("string")) % 4 == 1
     return calibrate(train(_samples(labelled.filter(~last), train_docs)), _samples(labelled.filter(last), calibration_docs))
 

@@ -32,8 +32,8 @@ BASE, RATE, LEVELS = 1.001, 20.0, 65_535
 SIMILARITY = (75, 100)
 #: A pair goes on to the full sets if its estimate is at most this far below the threshold (six standard errors).
 MARGIN = 6 * (0.75 * 0.25 / REGISTERS) ** 0.5
-#: Members of one block of a bucket that is compared in full, and bytes of shingle hashes there.
-BLOCK = 512
+#: Members and shingles of one block of a bucket that is compared in full, on average.
+BLOCK, BLOCK_SHINGLES = 512, 500_000
 
 _RNG = np.random.default_rng(20240229)
 _FLIP = _RNG.integers(0, 2**32, REGISTERS, dtype=np.uint32)[:, None]
@@ -249,14 +249,12 @@ def _block_links(bucket: int, ids: np.ndarray, groups: np.ndarray, regs: np.ndar
 
 
 def _contended_links(buckets: DataFrame) -> DataFrame:
-    """Compare buckets in full. buckets: bucket, size, doc_id, comp, regs, hashes.
+    """Compare buckets in full. buckets: bucket, blocks, doc_id, comp, regs, hashes.
 
-    A bucket of up to BLOCK members is one group; a larger one is cut into blocks of
-    about that size, and each pair of blocks is a group, so a group is bounded.
+    A small bucket is one block and one group; a larger one is cut into blocks, and
+    each pair of blocks is a group, so a group is bounded.
     """
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
-    placed = (buckets.withColumn("blocks", blocks).withColumn("mine", mine)
+    placed = (buckets.withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
               .withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other"))
               .select("bucket", "lo", "hi", "mine", "doc_id", "comp", "regs", "hashes"))
@@ -335,10 +333,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     same_id = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b").select("a", "b")
 
     comp = materialise(components(star_links), "components")
-    labelled = shared.join(comp, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+    sizes = nodes.groupBy("doc_id").agg(F.max("n_shingles").alias("n"))
+    labelled = shared.filter("size > 2").join(comp, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id")).join(sizes, "doc_id").select("bucket", "doc_id", "comp", "n")
     # two members have been compared with each other already
-    mixed = labelled.filter("size > 2").groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket")
-    contended = (labelled.join(mixed, "bucket", "left_semi")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    mixed = labelled.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), blocks.alias("blocks")).filter("lo < hi").select("bucket", "blocks")
+    contended = (labelled.join(mixed, "bucket")
                  .join(nodes.select("doc_id", "regs"), "doc_id").join(full, "doc_id"))
     more = materialise(_contended_links(contended), "links")
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from railweave.llm.common import mix64, scan, word_hashes
+from railweave.llm.common import hash_cut, mix64, scan, word_hashes
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEATED, WINDOW = 10, 20, 5
@@ -152,7 +152,7 @@ def train(x: np.ndarray, good: np.ndarray) -> Forest:
 def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, doc_id: str = "doc_id", text: str = "text", quality: str = "quality") -> Forest:
     """Learn from the labelled documents whose hashed ids come first; labels or texts that are null are not used."""
     label = labels.select(F.col(doc_id).alias("doc_id"), F.col(quality).cast("double").alias("good")).dropna().groupBy("doc_id").agg(F.max("good").alias("good"))
-    chosen = label.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+    chosen = label.filter(hash_cut(label.select("doc_id"), "doc_id", sample_docs))
     # at most sample_docs rows of 16 bytes
     sample = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("doc_id", "good", "text")
 

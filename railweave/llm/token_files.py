@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from railweave.functions.runtime import scratch_path
-from railweave.llm.common import slices
+from railweave.llm.common import give_back, slices
 
 BLOCK = 512
 END_ID = 0
@@ -128,7 +128,7 @@ class PieceTokens:
     each id stands for a known number of bytes, the ids are dealt out by bytes.
     """
 
-    LIMIT = 800_000
+    LIMIT = 250_000
     TOGETHER = 4096
     _odd = re.compile(r" (?!\S)")
     _cut = re.compile(r"(?= \S)")
@@ -239,6 +239,7 @@ def write(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text"
                 *(pa.array([x.tobytes()], pa.binary()) for x in (words, offsets, escapes))],
                 ["shard", "page", "first", "doc_ids", "lengths", "words", "offsets", "escapes"])
             first += int(lengths.sum())
+        give_back()
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     order = ["doc_id", F.xxhash64("text")]
@@ -250,7 +251,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """Per document of the files: doc_id, start, n_tokens, ids_crc32, all from decoded ids."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (batch.slice(k, 1).to_pylist()[0] for k in range(len(batch))):
                 ids = decode(np.frombuffer(row["words"], np.uint64), np.frombuffer(row["escapes"], np.uint64)).astype("<u4")
                 lengths = np.array(row["lengths"], np.int64)
                 ends = np.cumsum(lengths)
