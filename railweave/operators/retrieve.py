@@ -73,31 +73,45 @@ def station_terms(stations: DataFrame) -> DataFrame:
             .where(F.length("term") >= 2))
 
 
+def contains_candidates(documents: DataFrame, terms: DataFrame, text: str = "content") -> DataFrame:
+    """Pairs (doc_id, term) where a word of the text contains the term's rarest word.
+
+    Every word of a term must lie inside one word of the text. The distinct words of
+    all documents are matched to the terms' words on equal substrings; that also tells
+    how many words of the texts each leads to, and the one that leads to the fewest
+    stands for the term. Words under three letters stand only where there is none longer.
+    """
+    postings = documents.select("doc_id", F.explode(F.split(F.lower(text), r"\s+")).alias("word")).where(F.col("word") != "")
+    words = postings.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    split = F.array_distinct(F.filter(F.split(F.lower("term"), r"\s+"), lambda w: w != ""))
+    parts = (terms.select("term").distinct().withColumn("parts", split).withColumn("most", F.array_max(F.transform("parts", F.length)))
+             .select("term", "most", F.explode("parts").alias("part")).where(F.length("part") >= F.least(F.lit(3), F.col("most"))).drop("most"))
+    lengths = parts.agg(F.collect_set(F.length("part"))).scalar()
+    pieces = (words.withColumn("len", F.explode(lengths)).where(F.length("word") >= F.col("len"))
+              .withColumn("at", F.explode(F.sequence(F.lit(1), F.length("word") - F.col("len") + 1)))
+              .select("word", "n", F.substring("word", F.col("at"), F.col("len")).alias("part")))
+    leads = pieces.join(parts.select("part").distinct(), "part").distinct()
+    cost = leads.groupBy("part").agg(F.sum("n").alias("cost"))
+    rarest = (parts.join(cost, "part", "left").groupBy("term")
+              .agg(F.min(F.struct(F.coalesce("cost", F.lit(0)).alias("cost"), (-F.length("part")).alias("short"), "part")).alias("r"))
+              .where(F.col("r.cost") > 0).select("term", F.col("r.part").alias("part")))
+    found = rarest.join(leads.select("part", "word"), "part").select("word", "term").distinct()
+    return postings.distinct().join(found, "word").select("doc_id", "term").distinct()
+
+
 def contains_join(documents: DataFrame, terms: DataFrame, text: str = "content", keep=("collection",)) -> DataFrame:
     """Pairs (term, document) where the text contains the term as a substring, case ignored.
 
-    The longest word of a term must lie inside one word of the text. The distinct
-    words of all documents are matched to those anchor words on equal substrings;
-    the words then lead to the documents by equality, and the whole term is
-    checked there. No term meets every document, and nothing is left out.
+    Candidates come from the term's rarest word (``contains_candidates``), so a word
+    that many terms share, such as "junction", does not bring them to each other's
+    documents; the whole term is then checked in the text. Nothing is left out.
 
     ``terms`` has a column ``term``; the result has one row per (term, document)
     with ``same_case`` telling whether the term occurs as written.
     """
-    low_text = F.lower(text)
-    postings = documents.select("doc_id", F.explode(F.split(low_text, r"\s+")).alias("word")).where(F.col("word") != "")
-    parts = F.split(F.lower("term"), r"\s+")
-    anchors = (terms.select("term").distinct()
-               .withColumn("anchor", F.array_max(F.transform(parts, lambda p: F.struct(F.length(p).alias("n"), p.alias("w"))))["w"]))
-    lengths = anchors.agg(F.collect_set(F.length("anchor"))).scalar()
-    pieces = (postings.select("word").distinct().withColumn("n", F.explode(lengths))
-              .where(F.length("word") >= F.col("n"))
-              .withColumn("at", F.explode(F.sequence(F.lit(1), F.length("word") - F.col("n") + 1)))
-              .select("word", F.substring("word", F.col("at"), F.col("n")).alias("anchor")))
-    leads = pieces.join(anchors, "anchor").select("word", "term").distinct()
-    pairs = postings.join(leads, "word").select("doc_id", "term").distinct()
+    pairs = contains_candidates(documents, terms, text)
     found = documents.select("doc_id", text, *keep).join(pairs, "doc_id")
-    return (found.where(F.contains(low_text, F.lower("term")))
+    return (found.where(F.contains(F.lower(text), F.lower("term")))
             .withColumn("same_case", F.contains(F.col(text), F.col("term"))))
 
 

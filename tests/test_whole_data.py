@@ -95,3 +95,15 @@ def test_a_cluster_without_shared_folder_is_an_error():
 
     with pytest.raises(ValueError):
         runtime.scratch_root(Session())
+
+
+def test_a_common_word_does_not_make_candidates(spark):
+    """500 names that end alike: each leads to its own documents only."""
+    names = [f"Station{k:03d} Junction" for k in range(500)] + ["Junction", "X Y"]
+    docs = [(k, f"from {names[k % 500]} to the end, x y z") for k in range(2000)] + [(3000, "JUNCTION of all"), (3001, None), (3002, "")]
+    documents_ = spark.createDataFrame([(d, t, "c") for d, t in docs], "doc_id long, content string, collection string")
+    terms = spark.createDataFrame([(n,) for n in names], "term string")
+    want = sorted((d, n) for d, t in docs if t for n in names if n.lower() in t.lower())
+    got = retrieve.contains_join(documents_, terms).select("doc_id", "term", "same_case").collect()
+    assert sorted((r.doc_id, r.term) for r in got) == want and sum(not r.same_case for r in got) == 2001
+    assert retrieve.contains_candidates(documents_, terms).count() <= 1.1 * len(want)
