@@ -337,6 +337,13 @@ def limit_results(candidates: DataFrame, entity: str = "has_entity", order=("ran
 
 
 # ---------------------------------------------------------------- answer material
+def context_or_none(questions: DataFrame, results: DataFrame, order: str = "position", budget: int = fv.CONTEXT_BUDGET) -> DataFrame:
+    """``context_budget`` for every question; one without documents is told so."""
+    found = context_budget(results, order, budget)
+    return (questions.select("question_id").join(found, "question_id", "left")
+            .select("question_id", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("context", F.lit(fv.NO_DOCUMENTS)).alias("context")))
+
+
 def context_budget(results: DataFrame, order: str = "position", budget: int = fv.CONTEXT_BUDGET) -> DataFrame:
     """Context text per question: documents in order while they fit, the first one always.
 

@@ -135,6 +135,16 @@ def resolve_station(questions: DataFrame, aliases: DataFrame, key: str = "questi
     return hits.groupBy(key).agg(best.alias("b")).select(key, "b.*")
 
 
+def resolve_station_or_similar(questions: DataFrame, aliases: DataFrame, cutoff: float = fv.FUZZY_CUTOFF_SINGLE, key: str = "question_id",
+                               text: str = "question", stop_words=fv.MENTION_STOP_WORDS) -> DataFrame:
+    """``resolve_station``, and for texts that name none the station most like the first word that is like any."""
+    exact = resolve_station(questions, aliases, key, text, stop_words).select(key, "alias", "name", "code")
+    rest = questions.join(exact.select(key), key, "left_anti")
+    near = fuzzy_resolve(rest, aliases, cutoff, key, text, ignore=tuple(fv.FUZZY_IGNORE))
+    first = near.groupBy(key).agg(F.min(F.struct("pos", "alias", "name", "code")).alias("m"))
+    return exact.unionByName(first.select(key, "m.alias", "m.name", "m.code"))
+
+
 def resolve_mentions(questions: DataFrame, aliases: DataFrame, key: str = "question_id", text: str = "question",
                      stop_words=fv.MENTION_STOP_WORDS) -> DataFrame:
     """Stations named in a text: longest alias first, whole words, no overlapping spans.
@@ -177,8 +187,9 @@ def similar_pairs(words: DataFrame, names: DataFrame, cutoff: float) -> DataFram
              .withColumn("la", F.explode(band(F.col("lb")))).withColumn("d", edits)
              .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("d"))))
              .select("alias", "la", "lb", "i", F.substring("alias", start + 1, size).alias("piece")))
+    # lengths that no alias has are not probed, so a very long word makes no rows
     probe = (words.select("word", F.length("word").alias("la")).distinct()
-             .withColumn("lb", F.explode(band(F.col("la")))).withColumn("d", edits)
+             .withColumn("lb", F.explode(band(F.col("la")))).join(index.select("lb").distinct(), "lb", "left_semi").withColumn("d", edits)
              .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("d"))))
              .withColumn("from", F.greatest(F.lit(0), start - F.col("d")))
              .withColumn("to", F.least(F.col("la") - size, start + F.col("d")))

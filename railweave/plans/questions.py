@@ -161,6 +161,13 @@ def _(r):
     return r.questions.join(st.resolve_station(texts, r.aliases(), key="question"), "question").select("question_id", "code", "name")
 
 
+@query("jn11_resolve_single")
+def _(r):
+    """The station of each question, also where its name is misspelt."""
+    texts = r.questions.select("question").distinct()
+    return r.questions.join(st.resolve_station_or_similar(texts, r.aliases(), key="question"), "question").select("question_id", "code", "name")
+
+
 @query("jn11_fuzzy_resolve")
 def _(r):
     """No SQL twin for the ratio; the tests compare it with a brute-force search."""

@@ -250,6 +250,13 @@ def _(r):
     return rt.context_budget(searched(r))
 
 
+@query("ret12_context_or_none", """
+    SELECT question_id, coalesce(documents, 0) AS documents, coalesce(context, 'No relevant documents found.') AS context FROM {search_questions} LEFT JOIN {budgeted} USING (question_id)""",
+       recursive=True, **_CONTEXT)
+def _(r):
+    return rt.context_or_none(r.asked(), searched(r))
+
+
 @query("ret12_context_budget_texts", """
     SELECT grp AS question_id, count(*) AS documents, cast(sum(length(text)) as bigint) AS chars
     FROM (SELECT *, sum(length(text)) OVER (PARTITION BY grp ORDER BY n ROWS UNBOUNDED PRECEDING) AS total FROM (

@@ -1,11 +1,15 @@
 """Nothing is cut, dropped or merged where the published limits are not asked for."""
 
+import difflib
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from railweave import fixed_values as fv
 from railweave.functions import runtime
 from railweave.functions import text as tx
-from railweave.operators import classify, documents, live, retrieve, sessions
+from railweave.operators import classify, documents, live, retrieve, sessions, stations
 from railweave.sources import tables
 
 
@@ -107,3 +111,30 @@ def test_a_common_word_does_not_make_candidates(spark):
     got = retrieve.contains_join(documents_, terms).select("doc_id", "term", "same_case").collect()
     assert sorted((r.doc_id, r.term) for r in got) == want and sum(not r.same_case for r in got) == 2001
     assert retrieve.contains_candidates(documents_, terms).count() <= 1.1 * len(want)
+
+
+def test_single_station_falls_back_to_the_closest_name(spark):
+    names = ["Bangalore", "Mangalore", "Chennai Central", "Ahmedabad"]
+    aliases = stations.alias_index(spark.createDataFrame([(f"C{k}", n, [], k) for k, n in enumerate(names)], "code string, name string, aka array<string>, ord int"))
+    texts = ["train to bangalor please", "Chennai Central today", "from ahmedabd to mangalor", "nothing at all", "b" * 2000 + " word", "stations"]
+    asked = spark.createDataFrame(list(enumerate(texts)), "question_id int, question string")
+
+    def plain(text):
+        low = text.lower()
+        for n in sorted(names, key=len, reverse=True):
+            if re.search(rf"\b{n.lower()}\b", low):
+                return n
+        for word in re.findall(r"\b[a-z]{4,}\b", low):
+            if word not in fv.FUZZY_IGNORE and (close := difflib.get_close_matches(word, [n.lower() for n in names], n=1, cutoff=0.8)):
+                return next(n for n in names if n.lower() == close[0])
+        return None
+
+    got = {r.question_id: r.name for r in stations.resolve_station_or_similar(asked, aliases).collect()}
+    assert {k: got.get(k) for k in range(len(texts))} == {k: plain(t) for k, t in enumerate(texts)}
+
+
+def test_question_without_documents_is_told(spark):
+    asked = spark.createDataFrame([("a",), ("b",)], "question_id string")
+    results = spark.createDataFrame([("a", 1, "text", "c", 0.5)], "question_id string, position int, content string, collection string, score double")
+    got = {r.question_id: (r.documents, r.context) for r in retrieve.context_or_none(asked, results).collect()}
+    assert got["b"] == (0, fv.NO_DOCUMENTS) and got["a"][0] == 1
