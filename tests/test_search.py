@@ -66,7 +66,7 @@ def test_rrf_counts_every_occurrence(spark):
     docs = spark.createDataFrame([(1, "one"), (2, "two"), (3, "x" * 100 + "a"), (4, "x" * 100 + "b")], "doc_id long, content string")
     ranked = spark.createDataFrame([(0, 0, 0, 1, 0.9), (0, 1, 0, 2, 0.8), (0, 1, 1, 1, 0.7), (0, 1, 2, 2, 0.8), (0, 2, 0, 3, 0.3), (0, 2, 1, 4, 0.4)],
                                    "question_id long, list_no int, rank int, doc_id long, score double")
-    rows = rt.rrf_fuse(ranked, docs).orderBy("rank").collect()
+    rows = rt.rrf_fuse(ranked, docs, prefix_len=100).orderBy("rank").collect()
     assert [(r.doc_id, r.score) for r in rows] == [(1, 0.9), (4, 0.4), (2, 0.8)]
     assert rows[0].rrf_score == round(1 / 61 + 1 / 62, 6)
 
@@ -105,7 +105,7 @@ def test_long_trains_take_the_asked_pairs(spark):
     stops = [(t, f"S{rng.randrange(30)}", i) for t, n in (("short", 5), ("long", 60), ("mid", 12)) for i in range(n)]
     pairs = [(f"S{rng.randrange(30)}", f"S{rng.randrange(30)}") for _ in range(40)]
     got = {tuple(r) for r in rt.between_stations(spark.createDataFrame(stops, "train_no string, station_code string, seq int"),
-                                                 spark.createDataFrame(pairs, "origin string, target string"), short=6).collect()}
+                                                 spark.createDataFrame(pairs, "origin string, target string")).collect()}
     first = {}
     for t, s, i in stops:
         first.setdefault((t, s), i)
