@@ -114,7 +114,8 @@ def fit(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str =
         keys, inverse, n = np.unique(pair, return_inverse=True, return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64)), pa.array(np.bincount(inverse, wanted, len(keys)).astype(np.int64))], ["pair", "n", "t"])
 
-    named = target.select(F.col(doc_id).alias("_id")).dropna().distinct().withColumn("_wanted", F.lit(True))
+    # joined by shuffle at every size, as the table of wanted texts grows with the corpus
+    named = target.select(F.col(doc_id).alias("_id")).dropna().distinct().withColumn("_wanted", F.lit(True)).hint("merge")
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(named, F.col("doc_id") == F.col("_id"), "left")
     counted = scan(source.select(F.coalesce("_wanted", F.lit(False)).alias("wanted"), "text"), run, "pair long, n long, t long").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
     counted = materialise(counted, "pairs")
