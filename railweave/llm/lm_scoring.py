@@ -5,10 +5,14 @@ on every text, the target on the texts of the wanted kind. A bigram's probabilit
 count mixed with the unigram's probability (Dirichlet smoothing). A document's score is
 the mean over its words of target loss minus background loss: the lower, the closer.
 
-Vocabulary and bigrams are pruned by their share of the corpus, not by a number, so the
-rule is the same at every size; a share bounds the number that can have it, and with it
-what is broadcast: at most 1 / WORD_SHARE words and 1 / PAIR_SHARE pairs. Other words
-are one class, other pairs fall back to the unigram.
+By default nothing is pruned: every word and every bigram keeps its own counts, so what
+is gathered grows with the corpus. An occurrence goes to the bucket of its word, where
+all counts that its probability needs meet; the buckets send back sums per document.
+Only words and pairs so frequent that they would fill a bucket are counted first, sent
+to all tasks and scored where they stand; a share bounds their number, not the model.
+
+With word_share or pair_share words and pairs below these shares are pruned: other words
+are one class, other pairs fall back to the unigram. Such a model is bounded and broadcast.
 """
 
 from __future__ import annotations
@@ -20,11 +24,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from railweave.functions.runtime import materialise
-from railweave.llm.common import scan, word_hashes
+from railweave.functions.runtime import materialise, scratch_path
+from railweave.llm.common import give_back, hash_cut, mix64, scan, slices, word_hashes
 
-WORD_SHARE, PAIR_SHARE = 2e-5, 1e-6
+#: Words and pairs below these shares of the corpus are pruned.
+WORD_SHARE, PAIR_SHARE = 0.0, 0.0
 PRIOR = 50.0
+#: Shares from which words and pairs are scored without a shuffle, and the texts in which such pairs are looked for.
+HOT_WORDS, HOT_PAIRS, SAMPLE = 2e-5, 2.5e-6, 4_000
+#: Words that a bucket holds, on average.
+BUCKET = 2_000_000
+#: Stands for the beginning of a text among the hashes.
+START = np.uint64(1)
 
 
 def _joined(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -98,8 +109,148 @@ class Models:
             return -(total[:, end] - total[:, end - counts]) / counts, counts
 
 
-def fit(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str = "text", word_share: float = WORD_SHARE, pair_share: float = PAIR_SHARE, prior: float = PRIOR) -> Models:
-    """target: a table whose doc_id names the texts of the wanted kind; null ids name none."""
+@dataclass
+class WholeModels:
+    """Counts of all words and pairs, gathered from these texts when others are scored."""
+
+    docs: DataFrame
+    source: DataFrame
+    prior: float
+    bucket: int
+    every: np.ndarray
+    total: int
+    hot: HotCounts
+
+
+@dataclass
+class HotCounts:
+    """Counts (rows: background, target) of frequent words, also as contexts, and of frequent pairs of them, by sorted keys."""
+
+    vocabulary: Vocabulary
+    of_words: np.ndarray
+    of_contexts: np.ndarray
+    pairs: np.ndarray
+    of_pairs: np.ndarray
+
+
+@dataclass
+class Occurrences:
+    """Words of some texts: hash and its predecessor's, text, whether it ends the text."""
+
+    word: np.ndarray
+    context: np.ndarray
+    text: np.ndarray
+    last: np.ndarray
+    counts: np.ndarray
+
+    @staticmethod
+    def of(texts: list[str | None]) -> Occurrences:
+        word, counts = _joined(texts)
+        end = np.cumsum(counts)
+        context = np.concatenate([[START], word[:-1]]).astype(np.uint64)[:len(word)]
+        context[(end - counts)[counts > 0]] = START
+        last = np.zeros(len(word), bool)
+        last[end[counts > 0] - 1] = True
+        return Occurrences(word, context, np.repeat(np.arange(len(texts)), counts), last, counts)
+
+
+def _find(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place among sorted keys, whether it is there) of each value."""
+    if not len(keys):
+        return np.zeros(len(values), np.int64), np.zeros(len(values), bool)
+    at = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
+    return at, keys[at] == values
+
+
+def _wanted(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("wanted").to_numpy(zero_copy_only=False).astype(bool)
+
+
+def _flagged(docs: DataFrame, target: DataFrame, doc_id: str, text: str) -> DataFrame:
+    # joined by shuffle at every size, as the table of wanted texts grows with the corpus
+    named = target.select(F.col(doc_id).alias("_id")).dropna().distinct().withColumn("_wanted", F.lit(True)).hint("merge")
+    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(named, F.col("doc_id") == F.col("_id"), "left")
+    return source.select("doc_id", F.coalesce("_wanted", F.lit(False)).alias("wanted"), "text")
+
+
+def _usage(source: DataFrame) -> DataFrame:
+    """(h, n, t, m, u): how often each word is in all and in wanted texts, and there before another word."""
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        at = Occurrences.of(batch.column("text").to_pylist())
+        wanted, some = _wanted(batch), at.counts > 0
+        keys, inverse = np.unique(at.word, return_inverse=True)
+        marks = (np.ones(len(at.word)), wanted[at.text], ~at.last, wanted[at.text] & ~at.last)
+        sums = [np.concatenate([np.bincount(inverse, x, len(keys)), [first]]).astype(np.int64) for x, first in zip(marks, (0, 0, some.sum(), (some & wanted).sum()), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([keys, [START]]).astype(np.uint64).view(np.int64)), *map(pa.array, sums)], ["h", *"ntmu"])
+
+    return scan(source.select("wanted", "text"), run, "h long, n long, t long, m long, u long").groupBy("h").agg(*(F.sum(x).alias(x) for x in "ntmu"))
+
+
+def _hot_pairs(source: DataFrame, known: Vocabulary, pair_share: float, sample: int) -> pa.Table:
+    """(pair, n, t) of pairs of frequent words, counted over all texts; a sample tells which ones are worth it."""
+    shared = source.sparkSession.sparkContext.broadcast(known)
+
+    def few(batch: pa.RecordBatch) -> pa.RecordBatch:
+        pair = _pairs(shared.value, Occurrences.of(batch.column("text").to_pylist()))
+        keys, n = np.unique(pair[pair >= 0], return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], ["pair", "n"])
+
+    part = source.select("text").withColumn("key", F.xxhash64("text"))
+    sampled = materialise(scan(part.filter(hash_cut(part, "key", sample)).select("text"), few, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), "sample")
+    words = sampled.agg(F.sum("n").alias("n")).first()["n"] or 0
+    # at most 1 / pair_share rows
+    chosen = np.sort(sampled.filter(F.col("n") >= max(2, pair_share * words)).select("pair").toArrow().column("pair").to_numpy())
+    picked = source.sparkSession.sparkContext.broadcast(chosen)
+
+    def run(batches):
+        sums = np.zeros((2, len(picked.value)), np.int64)
+        for batch in (x for y in batches for x in slices(iter([y]))):
+            at = Occurrences.of(batch.column("text").to_pylist())
+            place, there = _find(picked.value, _pairs(shared.value, at))
+            for row, mask in enumerate((there, there & _wanted(batch)[at.text])):
+                sums[row] += np.bincount(place[mask], minlength=sums.shape[1])
+        used = np.flatnonzero(sums[0])
+        yield pa.RecordBatch.from_arrays([pa.array(picked.value[used]), *(pa.array(x[used]) for x in sums)], ["pair", "n", "t"])
+        give_back()
+
+    counted = source.select("wanted", "text").mapInArrow(run, "pair long, n long, t long")
+    return counted.groupBy("pair").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).toArrow().sort_by("pair")
+
+
+def _pairs(known: Vocabulary, at: Occurrences) -> np.ndarray:
+    """Context id * width + word id where both are frequent, else -1."""
+    word, context = known.ids(at.word), known.ids(at.context)
+    return np.where((word > 0) & (context > 0), context * known.width + word, -1)
+
+
+def fit(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str = "text", word_share: float = WORD_SHARE, pair_share: float = PAIR_SHARE, prior: float = PRIOR,
+        hot_words: float = HOT_WORDS, hot_pairs: float = HOT_PAIRS, bucket: int = BUCKET, sample: int = SAMPLE) -> Models | WholeModels:
+    """target: a table whose doc_id names the texts of the wanted kind; null ids name none.
+
+    hot_words, hot_pairs, bucket and sample change how the work is dealt out, not the result.
+    """
+    if word_share or pair_share:
+        return _pruned(docs, target, doc_id, text, word_share, pair_share, prior)
+    path = scratch_path(docs.sparkSession, "flagged")
+    flagged = _flagged(docs, target, doc_id, text)
+    flagged.write.option("compression", "zstd").parquet(path)
+    source = docs.sparkSession.read.schema(flagged.schema).parquet(path)
+    words = materialise(_usage(source), "words")
+    sums = words.agg(F.sum("n").alias("n"), F.sum("t").alias("t"), F.sum((F.col("n") > 0).cast("long")).alias("words")).first()
+    total = sums["n"] or 0
+    # at most 1 / hot_words rows and the beginning
+    rows = words.filter((F.col("n") >= hot_words * total) | (F.col("h") == int(START))).toArrow()
+    keys = rows.column("h").to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    of_words, of_contexts = (np.stack([rows.column(x).to_numpy()[order] for x in pair]).astype(np.int64) for pair in ("nt", "mu"))
+    known = Vocabulary(keys[order])
+    pairs = _hot_pairs(source, known, hot_pairs, sample)
+    hot = HotCounts(known, of_words, of_contexts, pairs.column("pair").to_numpy(), np.stack([pairs.column(x).to_numpy() for x in "nt"]))
+    every = np.array([total, sums["t"] or 0], np.float64) + (sums["words"] or 0) + 2
+    return WholeModels(docs, source, prior, bucket, every, total, hot)
+
+
+def _pruned(docs: DataFrame, target: DataFrame, doc_id: str, text: str, word_share: float, pair_share: float, prior: float) -> Models:
     words = materialise(word_counts(docs, text), "words")
     total = words.agg(F.sum("n").alias("n")).first()["n"] or 0
     # at most 1 / word_share rows
@@ -114,10 +265,7 @@ def fit(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str =
         keys, inverse, n = np.unique(pair, return_inverse=True, return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64)), pa.array(np.bincount(inverse, wanted, len(keys)).astype(np.int64))], ["pair", "n", "t"])
 
-    # joined by shuffle at every size, as the table of wanted texts grows with the corpus
-    named = target.select(F.col(doc_id).alias("_id")).dropna().distinct().withColumn("_wanted", F.lit(True)).hint("merge")
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(named, F.col("doc_id") == F.col("_id"), "left")
-    counted = scan(source.select(F.coalesce("_wanted", F.lit(False)).alias("wanted"), "text"), run, "pair long, n long, t long").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    counted = scan(_flagged(docs, target, doc_id, text).select("wanted", "text"), run, "pair long, n long, t long").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
     counted = materialise(counted, "pairs")
     single = counted.groupBy((F.col("pair") % vocabulary.width).alias("word")).agg(F.sum("n").alias("n"), F.sum("t").alias("t")).toArrow()
     # at most 1 / pair_share rows
@@ -138,11 +286,13 @@ def _models(vocabulary: Vocabulary, single: pa.Table, kept: pa.Table, prior: flo
     return Models(vocabulary, pairs, of_pairs, np.log(prior * unigram), -np.log(mass))
 
 
-def score(docs: DataFrame, models: Models, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, models: Models | WholeModels, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_words, loss_target, loss_background, score (their difference).
 
     A null, empty or blank text has no words and null losses. Other columns are ignored.
     """
+    if isinstance(models, WholeModels):
+        return _whole(docs, models, doc_id, text)
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -152,3 +302,105 @@ def score(docs: DataFrame, models: Models, doc_id: str = "doc_id", text: str = "
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts.astype(np.int64)), *columns], ["doc_id", "n_words", "loss_target", "loss_background", "score"])
 
     return scan(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), run, "doc_id long, n_words long, loss_target double, loss_background double, score double")
+
+
+def _groups(key: np.ndarray, *weights: np.ndarray) -> list[np.ndarray]:
+    """Sums of the weights over equal neighbouring keys, given to each of them."""
+    new = np.concatenate([[True], key[1:] != key[:-1]])
+    place = np.cumsum(new) - 1
+    return [np.bincount(place, x)[place] for x in weights]
+
+
+def _whole(docs: DataFrame, models: WholeModels, doc_id: str, text: str) -> DataFrame:
+    """Occurrences meet in buckets by word, or by pair where the word is frequent; equal rows are one, taken ``copies`` times."""
+    context = docs.sparkSession.sparkContext
+    shared, prior, every = context.broadcast(models.hot), models.prior, models.every[:, None]
+    n_buckets = np.uint64(max(1, -(-models.total // models.bucket)))
+    # bits of role: the text is counted, the text is scored
+    if docs is models.docs:
+        source = models.source.withColumn("role", F.lit(3))
+    else:
+        scored = docs.select(F.col(doc_id).alias("doc_id"), F.lit(False).alias("wanted"), F.col(text).alias("text"), F.lit(2).alias("role"))
+        source = models.source.withColumn("role", F.lit(1)).unionByName(scored)
+    source = source.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), (F.col("role") + F.when(F.col("wanted"), 4).otherwise(0)).cast("int").alias("flags"), "text")
+
+    def located(batch: pa.RecordBatch) -> tuple:
+        """Occurrences, and for each the place of its word, its context and both among the frequent ones, and whether they are there."""
+        known = shared.value.vocabulary
+        at = Occurrences.of(batch.column("text").to_pylist())
+        word, first = _find(known.hashes, at.word)
+        before, second = _find(known.hashes, at.context)
+        return at, (word, first), (before, second), _find(shared.value.pairs, np.where(first & second, (before + 1) * known.width + word + 1, -1))
+
+    def settle(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """Per text: what frequent words and pairs add."""
+        hot, (at, (word, _), (before, second), (place, there)) = shared.value, located(batch)
+        scored, sums = (batch.column("flags").to_numpy() & 2) > 0, []
+        for k in (0, 1):
+            logs = np.zeros(len(at.word))
+            logs[second] -= np.log(hot.of_contexts[k][before[second]] + prior)
+            logs[there] += np.log(hot.of_pairs[k][place[there]] + prior * (hot.of_words[k][word[there]] + 1) / every[k])
+            sums.append(pa.array(np.bincount(at.text, logs, len(scored))))
+        out = [batch.column("row"), batch.column("doc_id"), pa.array(at.counts.astype(np.int64)), pa.array(scored.astype(np.int64)), *sums]
+        return pa.RecordBatch.from_arrays(out, ["row", "doc_id", "n_words", "copies", "b", "t"]).filter(pa.array(scored))
+
+    def send(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """Other occurrences by bucket: pairs of a frequent word meet by pair, others by word."""
+        at, (word, first), _, (_, there) = located(batch)
+        flags, row = batch.column("flags").to_numpy().astype(np.uint8), batch.column("row").to_numpy()
+        left = np.flatnonzero(~there)
+        pair = mix64(at.word[left] + mix64(at.context[left]))
+        bucket = ((mix64(np.where(first[left], pair, at.word[left])) >> np.uint64(20)) % n_buckets).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        left, pair, bucket = left[order], pair[order], bucket[order]
+        edge = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)) if len(bucket) else np.zeros(1, np.int64)
+        packs = []
+        for start, end in zip(edge[:-1], edge[1:], strict=True):
+            part, pairs = left[start:end], pair[start:end]
+            frequent = first[part]
+            rare = ~frequent
+            texts, index = np.unique(at.text[part], return_inverse=True)
+            index = index.astype(np.uint16)
+            packs.append([x.tobytes() for x in (row[texts], flags[texts], index[frequent], pairs[frequent], word[part[frequent]].astype(np.uint32),
+                                                index[rare], at.word[part[rare]], pairs[rare], at.last[part[rare]])])
+        return pa.RecordBatch.from_arrays([pa.array(bucket[edge[:-1]] if len(bucket) else [], pa.int32()), *(pa.array([x[k] for x in packs], pa.binary()) for k in range(len(PACK)))], ["bucket", *PACK])
+
+    def gather(table: pa.Table) -> pa.Table:
+        hot = shared.value
+        packs = {name: [np.frombuffer(x, kind) for x in table.column(name).to_pylist()] for name, kind in PACK.items()}
+        shift = np.cumsum([0, *map(len, packs["rows"])])[:-1]
+        index = {x: np.concatenate([a.astype(np.int64) + s for a, s in zip(packs[x], shift, strict=True)]) for x in ("hot_at", "rare_at")}
+        flat = {name: np.concatenate(x) for name, x in packs.items() if name not in index}
+        flags = flat["flags"]
+        counts = np.stack([flags & 1, (flags & 5) == 5]).astype(np.float64)
+        sums = np.zeros((2, len(flags)))
+        if len(flat["hot_pair"]):
+            order = np.argsort(flat["hot_pair"])
+            pair, word, text = flat["hot_pair"][order], flat["hot_word"][order], index["hot_at"][order]
+            for k, n in enumerate(_groups(pair, *counts[:, text])):
+                sums[k] += np.bincount(text, np.log(n + prior * (hot.of_words[k][word] + 1) / every[k]), len(flags))
+        if len(flat["rare_word"]):
+            order = np.lexsort((flat["rare_pair"], flat["rare_word"]))
+            word, pair, text, inner = flat["rare_word"][order], flat["rare_pair"][order], index["rare_at"][order], ~flat["rare_last"][order]
+            for k in (0, 1):
+                weight = counts[k][text]
+                of_word, of_context = _groups(word, weight, weight * inner)
+                n, = _groups(pair, weight)
+                logs = np.log(n + prior * (of_word + 1) / every[k]) - np.where(inner, np.log(of_context + prior), 0)
+                sums[k] += np.bincount(text, logs, len(flags))
+        keys, place = np.unique(flat["rows"], return_inverse=True)
+        scored = (flags & 2) > 0
+        sums = [np.bincount(place[scored], x[scored], len(keys)) for x in sums]
+        used = np.bincount(place[scored], minlength=len(keys)) > 0
+        return pa.table([pa.array(keys[used]), *(pa.array(x[used]) for x in sums)], names=["row", "b", "t"])
+
+    own = scan(source, settle, "row long, doc_id long, n_words long, copies long, b double, t double")
+    sent = scan(source.select("row", "flags", "text"), send, "bucket int" + "".join(f", {x} binary" for x in PACK)).groupBy("bucket").applyInArrow(gather, "row long, b double, t double")
+    both = own.unionByName(sent, allowMissingColumns=True).groupBy("row").agg(F.max("doc_id").alias("doc_id"), *(F.sum(x).alias(x) for x in ("n_words", "copies", "b", "t")))
+    both = both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    words = F.when(F.col("n_words") > 0, F.col("n_words"))
+    return both.select("doc_id", F.expr("n_words div copies").alias("n_words"), (-F.col("t") / words).alias("loss_target"), (-F.col("b") / words).alias("loss_background"), ((F.col("b") - F.col("t")) / words).alias("score"))
+
+
+#: What a bucket is sent from some texts: their rows and flags, occurrences of frequent words, occurrences of others.
+PACK = {"rows": np.int64, "flags": np.uint8, "hot_at": np.uint16, "hot_pair": np.uint64, "hot_word": np.uint32, "rare_at": np.uint16, "rare_word": np.uint64, "rare_pair": np.uint64, "rare_last": np.bool_}

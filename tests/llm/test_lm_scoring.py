@@ -77,3 +77,26 @@ def test_empty_tables(spark, make):
 def test_odd_rows(spark, make, odd_rows):
     docs = make(odd_rows)
     assert lm.score(docs, lm.fit(docs, spark.createDataFrame([(1,)], "doc_id long"))).count() == len(odd_rows)
+
+
+@pytest.mark.parametrize("hot_words, hot_pairs", [(2e-5, 2.5e-6), (0.004, 0.002), (2.0, 2.0)])
+def test_no_count_is_pruned(spark, make, hot_words, hot_pairs):
+    common = prose(71, 25)
+    rows = [(k, " ".join(common[(k * j * j + j) % 25] for j in range(10 + k % 7)) + " " + " ".join(prose(300 + k, 3)).upper()) for k in range(30)]
+    rows += [(50, None), (51, ""), (52, "  "), (53, "a"), (None, "no id here"), (None, "no id here"), (1, "repeated id"), (1, "repeated id")]
+    docs, target = make(rows), spark.createDataFrame([(x,) for x in (1, 2, 3, 4, 5, 50)], "doc_id long")
+    models = lm.fit(docs, target, prior=7.0, hot_words=hot_words, hot_pairs=hot_pairs, bucket=100, sample=10)
+    key = lambda r: (str(r[0]), r[1], r[2] or 0)
+    want = sorted(brute(rows, {1, 2, 3, 4, 5, 50}, 0, 0, 7.0), key=key)
+    for scored in (docs, make(rows)):
+        for g, w in zip(sorted(map(tuple, lm.score(scored, models).collect()), key=key), want, strict=True):
+            assert g[:2] == w[:2] and (g[2:4] == (None, None) if not w[1] else abs(g[2] - w[2]) < 1e-9 and abs(g[3] - w[3]) < 1e-9)
+
+
+def test_rare_words_of_a_large_corpus_have_counts_of_their_own(spark, make):
+    rows = [(k, "the same words again " * 15_000) for k in range(4)] + [(10, "rare pair"), (11, "rare pair"), (12, "lone words")]
+    docs = make(rows)
+    got = {r.doc_id: r for r in lm.score(docs, lm.fit(docs, spark.createDataFrame([(10,)], "doc_id long"))).collect()}
+    want = {r[0]: r for r in brute(rows, {10}, 0, 0, lm.PRIOR)}
+    for k in (10, 11, 12):
+        assert abs(got[k].loss_background - want[k][3]) < 1e-9 and abs(got[k].loss_target - want[k][2]) < 1e-9
