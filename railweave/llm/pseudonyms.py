@@ -181,16 +181,66 @@ def token(text: str, key: bytes) -> str | None:
     return "".join(digits[x] for x in permute([digits.index(c) for c in text.lower()], [16] * len(text), key, "hex"))
 
 
+#: Usual groups of card numbers; a single group of 13 to 19 digits is usual too.
+FORMS = ((4, 4, 4, 4, 3), (4, 4, 4, 4), (4, 6, 5), (4, 6, 4))
+#: Length of the account numbers of each country.
+LENGTHS = {x[:2]: int(x[2:]) for x in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 "
+    "JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20").split()}
+
+
+def card_spans(text: str, m: re.Match) -> list[tuple[int, int]]:
+    """Where in a run of digits a card may be, whole groups only: usual forms first, then the whole run, then other parts."""
+    groups = [x.span() for x in re.compile(r"\d+").finditer(text, *m.span())]
+    usual, other = [], []
+    for i in range(len(groups)):
+        n = 0
+        for j in range(i, len(groups)):
+            n += groups[j][1] - groups[j][0]
+            if n > 19:
+                break
+            span = groups[i][0], groups[j][1]
+            form = tuple(b - a for a, b in groups[i:j + 1])
+            marks = {text[b] for _, b in groups[i:j]}
+            if n > 12 and (len(form) == 1 or (form in FORMS and len(marks) == 1)):
+                usual.append((-n, span))
+            elif n > 11 and span == m.span() or n > 12 and text[span[0]] in "23456":
+                other.append((span != m.span(), -n, span))
+    return [x[-1] for x in sorted(usual) + sorted(other)]
+
+
+def account_spans(text: str, m: re.Match) -> list[tuple[int, int]]:
+    """Where an account may end that begins here: at its country's length, at the end of all groups, and without a country at each group's end."""
+    whole = _GROUPS.match(text, m.start())
+    country = LENGTHS.get(text[m.start():m.start() + 2])
+    ends, n, at = [], 0, m.start()
+    while at < len(text) and n < 34:
+        at += text[at] == " "
+        if at == len(text) or _alphabet(text[at]) not in (DIGITS, LARGE):
+            break
+        at, n = at + 1, n + 1
+        edge = at == len(text) or not (text[at].isalnum() or text[at] == "_")
+        if edge and (n == country if country else n > 11):
+            ends.append(at)
+    ends = ends[::-1]
+    if whole and whole.end() not in ends:
+        ends.append(whole.end())
+    return [(m.start(), x) for x in ends]
+
+
 KINDS: dict[str, tuple[str, Callable[[str, bytes], str | None]]] = {
     "mail": (r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", mail),
     "token": (r"\bAKIA[0-9A-Z]{16}\b|\b(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{32,128}\b|(?<=password=)[0-9a-f]{8,128}\b", token),
-    "account": (r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", account),
+    "account": (r"\b[A-Z]{2}\d{2}(?= ?[A-Z0-9])", account),
     "day": (r"(?<![\d./-])(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?![/-]?\d)", day),
     "address": (r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)", address),
-    "card": (r"(?<!\d)(?<!\d[ -])\d(?:[ -]?\d){11,18}(?![ -]?\d)", card),
-    "phone": (r"(?<![\d.])(?:\+?1[ .-]?)?(?:\([2-9]\d\d\) ?|[2-9]\d\d[ .-])[2-9]\d\d[ .-]\d{4}(?!\d)", phone),
+    "card": (r"(?<!\d)(?<!\d[ -])\d(?:[ -]?\d){11,}", card),
+    "phone": (r"(?<![\d.])(?:\+?1[ .-]?)?(?:\([2-9]\d\d\) ?|[2-9]\d\d[ .-])[2-9]\d\d[ .-]\d{4}(?!\d)|(?<![\w.+-])(?:\+?1[ .-]?)?[2-9]\d\d[2-9]\d{6}(?![\w-]|\.\d)", phone),
     "social": (r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", social),
 }
+#: Places inside a match that are tried in turn; other kinds take the whole match.
+SPANS: dict[str, Callable[[str, re.Match], list[tuple[int, int]]]] = {"card": card_spans, "account": account_spans}
+_GROUPS = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
 _ANY = re.compile("[0-9@]")
 _PATTERNS = [(kind, re.compile(pattern), change) for kind, (pattern, change) in KINDS.items()]
 
@@ -202,8 +252,9 @@ def pseudonymise(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]
     found: list[tuple[int, int, str, str]] = []
     for kind, pattern, change in _PATTERNS:
         for m in pattern.finditer(text):
-            if not any(a < m.end() and m.start() < b for a, b, _, _ in found) and (new := change(m[0], key)) is not None:
-                found.append((*m.span(), kind, new))
+            for start, end in SPANS[kind](text, m) if kind in SPANS else [m.span()]:
+                if not any(a < end and start < b for a, b, _, _ in found) and (new := change(text[start:end], key)) is not None:
+                    found.append((start, end, kind, new))
     out, places, at, length = [], [], 0, 0
     for start, end, kind, new in sorted(found):
         out += [text[at:start], new]
