@@ -122,7 +122,8 @@ class _Slots(dict):
 class PieceTokens:
     """Token ids of texts; equal pieces are tokenised once, as far as they are remembered.
 
-    A text is cut before each space that something other than white space follows.
+    A text is cut around the tokens added to the vocabulary, which have ids of their own
+    wherever their literal stands, and before each space that something other than white space follows.
     The vocabulary's own splitting rule always breaks there, so the ids of the pieces,
     one after the other, are those of the text. New pieces are tokenised together; as
     each id stands for a known number of bytes, the ids are dealt out by bytes.
@@ -138,7 +139,12 @@ class PieceTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = list(self.tokenizer.get_added_tokens_decoder().values())
+        self.added = re.compile("(" + "|".join(re.escape(x.content) for x in sorted(added, key=lambda x: -len(x.content))) + ")") if added else None
+        # added tokens that look at their surroundings or at changed text: such texts are not cut
+        self.plain = not any(x.lstrip or x.rstrip or x.single_word or re.search(r"\s", x.content) for x in added)
+        self.hidden = self.tokenizer.normalizer is not None and any(x.normalized for x in added)
+        self.together = 1 if any(re.search(r"\s", x.content) for x in added) else self.TOGETHER
         vocabulary = self.tokenizer.get_vocab()
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
@@ -151,6 +157,17 @@ class PieceTokens:
         self.starts, self.lengths, self.ids, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0
 
     def _cut_up(self, text: str) -> list[int]:
+        if self.hidden:
+            return [self.heads[text]] if text else []
+        if self.added is None or not self.added.search(text):
+            return self._cut_at_spaces(text)
+        if not self.plain:
+            return [self.heads[text]]
+        # every second part is an added token
+        parts = self.added.split(text)
+        return [slot for k, x in enumerate(parts) for slot in ([self.heads[x]] if k % 2 else self._cut_at_spaces(x))]
+
+    def _cut_at_spaces(self, text: str) -> list[int]:
         if self._odd.search(text):
             first, *rest = self._cut.split(text)
             if not first and rest:  # the text starts with a space and a word
@@ -174,8 +191,8 @@ class PieceTokens:
             coded = [x.ids for x in self.tokenizer.encode_batch_fast(self.heads.new, add_special_tokens=False)]
             self._store(np.array([self.heads[x] for x in self.heads.new]), np.array(list(map(len, coded))), np.array([i for x in coded for i in x], np.uint32))
             self.heads.new = []
-        for at in range(0, len(self.tails.new), self.TOGETHER):
-            new = self.tails.new[at:at + self.TOGETHER]
+        for at in range(0, len(self.tails.new), self.together):
+            new = self.tails.new[at:at + self.together]
             ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(new)], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.cumsum(np.fromiter((len(x.encode()) + 1 for x in new), np.int64, len(new)))
             reached = np.cumsum(self.bytes_of[ids])

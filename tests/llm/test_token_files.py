@@ -69,3 +69,38 @@ def test_files(make, odd_rows):
 
 def test_empty_table(make):
     assert tf.write_and_read(make([])).collect() == []
+
+
+END = "<|endoftext|>"
+
+
+@settings(deadline=None, max_examples=80)
+@given(st.lists(st.lists(st.sampled_from([END, "<|endof", "text|>", " ", "\n", "\t", "a", " b", "c  d", "é", "'s", "<", ">", "1."]), max_size=12).map("".join), max_size=6))
+def test_added_tokens_have_the_ids_of_the_library(texts):
+    plain = Tokenizer.from_file(PATH)
+    ids, lengths = tf.tokens_of(PATH).encode(texts)
+    want = [[*plain.encode(x, add_special_tokens=False).ids, 0] for x in texts]
+    assert lengths.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+
+
+def test_files_with_added_tokens(make):
+    plain = Tokenizer.from_file(PATH)
+    rows = [(1, f"a {END} b"), (2, END), (3, f"{END}{END} x"), (4, "after them")]
+    got = sorted((tuple(r) for r in tf.write_and_read(make(rows)).select("doc_id", "start", "n_tokens", "ids_crc32").collect()))
+    start = 0
+    for (doc_id, text), row in zip(rows, got, strict=True):
+        ids = [*plain.encode(text, add_special_tokens=False).ids, 0]
+        assert row == (doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
+def test_added_tokens_that_take_spaces(tmp_path):
+    from tokenizers import AddedToken
+
+    for k, token in enumerate((AddedToken("<x>", lstrip=True, rstrip=True), AddedToken("two words"), AddedToken("word", single_word=True))):
+        plain = Tokenizer.from_file(PATH)
+        plain.add_tokens([token])
+        plain.save(str(tmp_path / f"{k}.json"))
+        texts = ["a <x> b", "has two words here", "two", "words two", "a word b", "words", f"x {END} word"]
+        ids, _ = tf.PieceTokens(str(tmp_path / f"{k}.json")).encode(texts)
+        assert ids.tolist() == [i for x in texts for i in [*plain.encode(x, add_special_tokens=False).ids, 0]]
