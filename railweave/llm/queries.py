@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from railweave.llm import decontaminate, language_id, line_dedup, lm_scoring, mixing, near_dedup, pseudonyms, quality_gbt, token_files, unit_dedup
+from railweave.llm import decontaminate, language_id, line_dedup, lm_scoring, merkle, mixing, near_dedup, pseudonyms, quality_gbt, token_files, unit_dedup
 from railweave.llm.common import ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,28 @@ EXAMPLE_KEY = b"example key, not a secret"
 @query("op4_feistel_pseudonyms")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymised(table(spark, sf_dir, "documents"), EXAMPLE_KEY)
+
+
+@query("op12_merkle_manifest", r"""
+WITH RECURSIVE f AS (SELECT *, coalesce(strlen(source)::VARCHAR || ':' || source, '-') AS fs, coalesce(strlen(lang)::VARCHAR || ':' || lang, '-') AS fl, coalesce(strlen(text)::VARCHAR || ':' || text, '-') AS ft,
+              coalesce(strlen(doc_id::VARCHAR)::VARCHAR || ':' || doc_id::VARCHAR, '-') AS fd, coalesce(':' || lang, '-') AS g,
+              list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), c -> ascii(c)::UBIGINT), lambda crc, b:
+                  list_reduce([0, 1, 2, 3, 4, 5, 6, 7]::UBIGINT[], lambda r, k: xor(r >> 1, 3988292384::UBIGINT * (r & 1)), xor(crc, b)), 4294967295::UBIGINT) AS crc FROM documents),
+made AS (SELECT doc_id, g, sha256(fd || fs || fl || coalesce(strlen(n_chars::VARCHAR)::VARCHAR || ':' || n_chars::VARCHAR, '-') || ft) AS leaf,
+                sha256(fd || fs || fl || coalesce(strlen((n_chars + 1)::VARCHAR)::VARCHAR || ':' || (n_chars + 1)::VARCHAR, '-') || ft) AS altered, xor(crc, 4294967295::UBIGINT) % 7 = 0 AS tampered FROM f),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY g) AS n FROM made),
+nodes AS (SELECT 0 AS level, g, idx, n, leaf AS h FROM leaves
+          UNION ALL SELECT level + 1, g, idx // 2, (max(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY idx)) FROM nodes WHERE n > 1 GROUP BY level, g, idx // 2),
+subs AS (SELECT g, h, level AS depth, row_number() OVER (ORDER BY g) - 1 AS idx, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (SELECT 0 AS level, idx, n, h FROM subs
+         UNION ALL SELECT level + 1, idx // 2, (max(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY idx)) FROM tops WHERE n > 1 GROUP BY level, idx // 2),
+walk AS (SELECT l.g, l.idx AS leaf_idx, l.idx AS pos, 0 AS level, l.n, '' AS proof, CASE WHEN tampered THEN altered ELSE leaf END AS h FROM leaves l
+         UNION ALL SELECT w.g, leaf_idx, pos // 2, w.level + 1, (w.n + 1) // 2, proof || coalesce(s.h, ''), sha256(CASE WHEN pos % 2 = 1 THEN s.h || w.h ELSE w.h || coalesce(s.h, '') END)
+         FROM walk w LEFT JOIN nodes s ON s.g = w.g AND s.level = w.level AND s.idx = xor(w.pos, 1::BIGINT) WHERE w.n > 1),
+climb AS (SELECT w.g, leaf_idx, s.idx AS pos, 0 AS level, s.n, proof, w.h, s.h AS subroot FROM walk w JOIN subs s USING (g) WHERE w.n = 1
+          UNION ALL SELECT c.g, leaf_idx, pos // 2, c.level + 1, (c.n + 1) // 2, proof || coalesce(t.h, ''), sha256(CASE WHEN pos % 2 = 1 THEN t.h || c.h ELSE c.h || coalesce(t.h, '') END), subroot
+          FROM climb c LEFT JOIN tops t ON t.level = c.level AND t.idx = xor(c.pos, 1::BIGINT) WHERE c.n > 1)
+SELECT doc_id, leaf, subroot, (SELECT h FROM tops WHERE n = 1) AS root, sha256(proof) AS proof_sha256, c.h AS folded_root, c.h = (SELECT h FROM tops WHERE n = 1) AS verified
+FROM leaves l JOIN climb c ON c.g = l.g AND c.leaf_idx = l.idx AND c.n = 1""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), claimed=merkle.check_column()).drop("path")
