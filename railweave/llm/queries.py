@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from railweave.llm import decontaminate, language_id, line_dedup, lm_scoring, merkle, mixing, near_dedup, pseudonyms, quality_gbt, token_files, unit_dedup
+from railweave.llm import decontaminate, hard_negatives, language_id, line_dedup, lm_scoring, merkle, mixing, near_dedup, pseudonyms, quality_gbt, token_files, unit_dedup, warc
 from railweave.llm.common import ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,7 +123,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_merkle_manifest", r"""
 WITH RECURSIVE f AS (SELECT *, coalesce(strlen(source)::VARCHAR || ':' || source, '-') AS fs, coalesce(strlen(lang)::VARCHAR || ':' || lang, '-') AS fl, coalesce(strlen(text)::VARCHAR || ':' || text, '-') AS ft,
               coalesce(strlen(doc_id::VARCHAR)::VARCHAR || ':' || doc_id::VARCHAR, '-') AS fd, coalesce(':' || lang, '-') AS g,
-              list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), c -> ascii(c)::UBIGINT), lambda crc, b:
+              list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT), lambda crc, b:
                   list_reduce([0, 1, 2, 3, 4, 5, 6, 7]::UBIGINT[], lambda r, k: xor(r >> 1, 3988292384::UBIGINT * (r & 1)), xor(crc, b)), 4294967295::UBIGINT) AS crc FROM documents),
 made AS (SELECT doc_id, g, sha256(fd || fs || fl || coalesce(strlen(n_chars::VARCHAR)::VARCHAR || ':' || n_chars::VARCHAR, '-') || ft) AS leaf,
                 sha256(fd || fs || fl || coalesce(strlen((n_chars + 1)::VARCHAR)::VARCHAR || ':' || (n_chars + 1)::VARCHAR, '-') || ft) AS altered, xor(crc, 4294967295::UBIGINT) % 7 = 0 AS tampered FROM f),
@@ -143,3 +143,28 @@ SELECT doc_id, leaf, subroot, (SELECT h FROM tops WHERE n = 1) AS root, sha256(p
 FROM leaves l JOIN climb c ON c.g = l.g AND c.leaf_idx = l.idx AND c.n = 1""")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), claimed=merkle.check_column()).drop("path")
+
+
+@query("op13_warc_salvage", r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+o AS (SELECT *, strlen(html) AS n, max(page_id) OVER (PARTITION BY html) AS owner FROM p)
+SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest,
+       CASE WHEN n >= 1000 AND owner IS NOT NULL AND page_id IS DISTINCT FROM owner THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id IS DISTINCT FROM owner THEN owner END AS refers_to
+FROM o""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.write_and_read(table(spark, sf_dir, "pages"))
+
+
+@query("op11_segment_hard_negatives", r"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_sum(list_transform(list_zip(a.e, b.e), lambda p: p[1] * p[2]))::BIGINT AS score
+          FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM pairs WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER w)::INT AS rank, other_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN pairs USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) QUALIFY row_number() OVER w <= 10""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flipped = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), relabel=flipped)
