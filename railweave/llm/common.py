@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows that one step of a scan holds in Python; longer Arrow batches are cut.
@@ -73,6 +74,30 @@ def hash_cut(df: DataFrame, key: str, n: int) -> Column:
     return place < (first["h"] if first["n"] > n else share)
 
 
+def stratified(df: DataFrame, by: str, n: int, least: int = 20) -> DataFrame:
+    """At most n rows of ``df``, dealt evenly over the values of ``by``, by the hash of the whole row.
+
+    Equal rows count once, so neither a repeated key nor a repeated row keeps others out.
+    Values with few rows give all of them and the others share the rest; with more than
+    n / least values the most frequent ones are drawn from. Null values give no row.
+    """
+    place = F.pmod(F.xxhash64(*df.columns), F.lit(1 << 53))
+    # at most n / least rows
+    known = df.filter(F.col(by).isNotNull()).groupBy(by).agg(F.approx_count_distinct(place).alias("rows")).orderBy(F.desc("rows"), by).limit(max(1, n // least)).collect()
+    quotas, left = [], n
+    for k, row in enumerate(sorted(known, key=lambda r: (r["rows"], str(r[by])))):
+        # the count of distinct rows is an estimate, so its double may still be all
+        quota = min(max(1, 2 * row["rows"]), left // (len(known) - k))
+        left -= quota
+        quotas.append((row[by], quota, min(1 << 53, int((1 << 53) * 2.0 * quota / max(1, row["rows"])))))
+    if not quotas:
+        return df.limit(0)
+    drawn = df.sparkSession.createDataFrame(quotas, f"{by} {df.schema[by].dataType.simpleString()}, _quota long, _share long")
+    near = df.withColumn("_place", place).join(drawn, by).filter(F.col("_place") < F.col("_share")).dropDuplicates([by, "_place"])
+    first = F.row_number().over(Window.partitionBy(by).orderBy("_place"))
+    return near.withColumn("_n", first).filter(F.col("_n") <= F.col("_quota")).select(*df.columns)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads all bits of 64-bit words."""
     x = x ^ (x >> np.uint64(30))

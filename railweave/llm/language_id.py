@@ -17,15 +17,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from railweave.llm.common import hash_cut, scan
+from railweave.llm.common import scan, stratified
 
 UNKNOWN = "und"
 BUCKETS, DIMENSIONS = 1 << 15, 16
 #: Documents in the training and in the calibration sample; the rest of the corpus is only scored.
 TRAIN_DOCS, CALIBRATION_DOCS = 3000, 1000
 EPOCHS, STEP, SEED = 6, 4.0, 7
-#: Rejection keeps this share of accepted calibration documents right.
-ACCEPTED_RIGHT = 0.99
+#: Scores at which a guess is right less often than this are rejected.
+ACCEPTED_RIGHT = 0.6
 HELD_OUT = 2
 
 _LETTER = regex.compile(r"\p{L}")
@@ -107,7 +107,13 @@ def train(samples: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
 
 
 def calibrate(model: Model, samples: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
-    """Temperature of least loss, then the lowest threshold whose accepted texts are right often enough."""
+    """Temperature of least loss, then the threshold above which accepting pays.
+
+    An accepted text counts 1 - ACCEPTED_RIGHT if right and -ACCEPTED_RIGHT if wrong; the
+    threshold gives the largest sum. Wrong labels at all scores so reject nothing, and
+    for each wrong text that is rejected at most ACCEPTED_RIGHT / (1 - ACCEPTED_RIGHT)
+    right ones go with it.
+    """
     samples = [x for x in samples if x[0] in model.langs]
     if not samples:
         return model
@@ -118,17 +124,16 @@ def calibrate(model: Model, samples: list[tuple[str, np.ndarray, np.ndarray]]) -
     chance = softmax(raw / model.temperature)
     score, right = chance.max(axis=1), chance.argmax(axis=1) == truth
     order = np.argsort(-score)
-    share_right = np.cumsum(right[order]) / np.arange(1, len(order) + 1)
+    gain = np.cumsum(right[order] - ACCEPTED_RIGHT)
     whole = np.append(np.diff(score[order]) < 0, True)  # equal scores are accepted together
-    good = np.flatnonzero((share_right >= ACCEPTED_RIGHT) & whole)
-    lowest = good[-1] if len(good) else 0
+    lowest = len(order) - 1 - int(np.argmax(np.where(whole, gain, -np.inf)[::-1]))
     # if even the last one may be accepted, nothing that is at least as likely as any other guess is rejected
     model.threshold = 1 / len(model.langs) if lowest == len(order) - 1 else float(score[order[lowest]])
     return model
 
 
 def _samples(docs: DataFrame, n: int) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """Subword counts of at most n documents, those whose hashed ids come first; texts without letters drop out."""
+    """Subword counts of at most n documents, dealt evenly over languages; texts without letters drop out."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         kept, counts = [], []
         for text in batch.column("text").to_pylist():
@@ -137,7 +142,7 @@ def _samples(docs: DataFrame, n: int) -> list[tuple[str, np.ndarray, np.ndarray]
             counts.append(count.astype(np.uint32).tobytes())
         return pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(kept, pa.binary()), pa.array(counts, pa.binary())], ["lang", "found", "count"])
 
-    chosen = docs.filter(hash_cut(docs.select("doc_id"), "doc_id", n)).filter(F.col("text").rlike(r"\p{L}")).select("lang", "text")
+    chosen = stratified(docs.select("doc_id", "text", "lang"), "lang", n).filter(F.col("text").rlike(r"\p{L}")).select("lang", "text")
     out = []
     for row in scan(chosen, run, "lang string, found binary, count binary").collect():
         found, count = np.frombuffer(row["found"], np.uint16).astype(np.int64), np.frombuffer(row["count"], np.uint32).astype(np.float64)

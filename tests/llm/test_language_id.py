@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from railweave.llm import language_id as li
+from railweave.llm.common import stratified
 
 SOUNDS = {"xx": ["ka", "tu", "mi", "ro"], "yy": ["schl", "eng", "ung", "heit"], "zz": ["ção", "inho", "ã", "que"]}
 
@@ -71,3 +72,31 @@ def test_threshold_rejects_what_is_often_wrong():
     li.calibrate(model, sure + unsure)
     sure_score, unsure_score = (li.softmax(model.logits[k] / model.temperature).max() for k in (0, 1))
     assert unsure_score < model.threshold <= sure_score + 1e-9
+
+
+def test_wrong_labels_reject_no_clean_text(make):
+    """3 % wrong labels: under 1 % of the documents are rejected."""
+    rng = random.Random(5)
+    rows = [(d, t, rng.choice(list(SOUNDS)) if rng.random() < 0.045 else lang) for d, t, lang in texts(3000, 3)]
+    docs = make(rows)
+    got = li.predict(docs, li.fit(docs)).collect()
+    assert np.mean([not r.accepted for r in got]) < 0.01
+
+
+def test_repeated_ids_and_rare_languages_are_learned(make):
+    """One id, and one row, on five of six rows; a language on one row in 200."""
+    rows = texts(600, 4)
+    rare = [(10_000 + k, " ".join("wq" + "xj" * (1 + k % 3) for _ in range(20)), "rare") for k in range(60)]
+    same = [(1, t, lang) for _, t, lang in texts(3000, 6)] + [(1, *texts(1, 7)[0][1:])] * 3000
+    model = li.fit(make(rows + same + rare), train_docs=400, calibration_docs=200)
+    assert model.langs == ["rare", *SOUNDS]
+    got = li.predict(make(rows), model).collect()
+    truth = {r[0]: r[2] for r in rows}
+    assert np.mean([truth[r.doc_id] == r.lang_pred for r in got]) > 0.97
+
+
+def test_sample_is_bounded_and_even(make):
+    docs = make([(k % 7, f"text {k % 900}", "a" if k % 50 else "b") for k in range(5000)] + [(1, "same", "a")] * 4000).select("doc_id", "text", "lang")
+    got = stratified(docs, "lang", 300).collect()
+    assert len(got) == len(set(got)) <= 300 and 18 <= sum(r.lang == "b" for r in got) and sum(r.lang == "a" for r in got) >= 150
+    assert stratified(docs.limit(0), "lang", 10).collect() == []
