@@ -144,21 +144,27 @@ def keyword_join(documents: DataFrame, stations: DataFrame, collections=("train_
     return keyword_score(hits).select("code", "term_no", "term", "collection", "doc_id", "tf", "both_terms", "score", "same_case")
 
 
-#: Slices of the id range that are ranked apart.
+#: Slices of the ids that are ranked apart.
 SLICES = 64
 
 
-def rank_postings(scored: DataFrame) -> DataFrame:
+def slice_bounds(ids: DataFrame, column: str = "doc_id", slices: int = SLICES) -> list[int]:
+    """Ids at which slices of about equal numbers of rows begin, however the ids are spread."""
+    cuts = [F.lit(i / slices) for i in range(1, slices)]
+    found = ids.agg(F.percentile_approx(column, F.array(*cuts), F.lit(100 * slices)).alias("p")).first()["p"]
+    return sorted(set(found or []))
+
+
+def rank_postings(scored: DataFrame, slices: int = SLICES) -> DataFrame:
     """Rank of a document in the list of its (station, term, collection), and the list sizes.
 
-    The range of the ids is cut into equal slices that are ranked apart, so a very
-    common station is not ranked in one piece.
+    The ids are cut where the data say, into slices that hold about equally many rows
+    and are ranked apart, so a very common station is not ranked in one piece.
     """
     keys = ["code", "collection", "term_no"]
-    ends = scored.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).first()
-    low, width = ends["a"] or 0, ((ends["b"] or 0) - (ends["a"] or 0)) // SLICES + 1
-    sliced = scored.withColumn("_slice", F.floor((F.col("doc_id").cast("decimal(20,0)") - F.lit(low)) / F.lit(width)).cast("int"))
-    return dense_position(sliced, keys, "doc_id", "_slice", "pos").drop("_slice")
+    bounds = slice_bounds(scored, slices=slices)
+    place = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("doc_id"))) if bounds else F.lit(0)
+    return dense_position(scored.withColumn("_slice", place.cast("int")), keys, "doc_id", "_slice", "pos").drop("_slice")
 
 
 # ------------------------------------------------------------------------- fusion
@@ -262,16 +268,32 @@ def drop_wrong_stations(candidates: DataFrame, stations: str = "stations") -> Da
                             | (F.col("station_code") == "") | named)
 
 
-def between_stations(stops: DataFrame, pairs: DataFrame) -> DataFrame:
+#: Trains with at most so many asked stations form all their ordered pairs.
+SHORT_TRAIN = 64
+
+
+def between_stations(stops: DataFrame, pairs: DataFrame, short: int = SHORT_TRAIN) -> DataFrame:
     """Trains that serve ``origin`` before ``target``.
 
-    A train counts by the first place of each station. A pair starts at that of its
-    ends where fewer trains stop, and looks up the other end by train and station, so
-    neither a long train nor a busy station forms all its pairs.
+    A train counts by the first place of each station. Trains of up to ``short`` asked
+    stations form their ordered pairs, which are then looked up among the asked ones. For
+    longer trains a pair starts at that of its ends where fewer of them stop and looks up
+    the other end by train and station, so neither a long train nor a busy station forms
+    all its pairs.
     """
     asked = pairs.select("origin", "target").distinct()
     named = asked.select(F.col("origin").alias("station_code")).unionByName(asked.select(F.col("target").alias("station_code"))).distinct()
     first = stops.join(named, "station_code", "left_semi").groupBy("train_no", "station_code").agg(F.min("seq").alias("seq"))
+    sizes = first.groupBy("train_no").agg(F.count(F.lit(1)).alias("n"))
+    few = first.join(sizes.where(F.col("n") <= short), "train_no").groupBy("train_no").agg(F.array_sort(F.collect_list(F.struct("seq", "station_code"))).alias("at"))
+    later = lambda x, i: F.transform(F.filter("at", lambda y: y["seq"] > x["seq"]), lambda y: F.struct(
+        x["station_code"].alias("origin"), y["station_code"].alias("target"), x["seq"].alias("from_seq"), y["seq"].alias("to_seq")))
+    formed = few.select("train_no", F.explode(F.flatten(F.transform("at", later))).alias("p")).select("p.origin", "p.target", "train_no", "p.from_seq", "p.to_seq")
+    # a station asked about with itself is no pair of a train
+    return formed.join(asked, ["origin", "target"], "left_semi").unionByName(_long_trains(first.join(sizes.where(F.col("n") > short).select("train_no"), "train_no"), asked))
+
+
+def _long_trains(first: DataFrame, asked: DataFrame) -> DataFrame:
     trains = first.groupBy("station_code").agg(F.count(F.lit(1)).alias("n"))
     ends = (asked.join(trains.select(F.col("station_code").alias("origin"), F.col("n").alias("n_from")), "origin")
             .join(trains.select(F.col("station_code").alias("target"), F.col("n").alias("n_to")), "target"))
@@ -285,7 +307,6 @@ def between_stations(stops: DataFrame, pairs: DataFrame) -> DataFrame:
             .where(F.col("from_seq") < F.col("to_seq")))
 
 
-
 def enrich_route_names(candidates: DataFrame, documents: DataFrame, score: float = 0.95) -> DataFrame:
     """Puts each valid route's own train document in front and stamps the running days on the route."""
     train_docs = (documents.where(F.col("collection") == "trains").groupBy("train_no")

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from railweave import fixed_values as fv
+from railweave.functions.runtime import scratch_path
+from railweave.operators import postings as po
 from railweave.operators import quality as ql
 from railweave.operators import retrieve as rt
 from railweave.operators import search as se
+from railweave.operators import vector_index as vi
 from railweave.operators import vectors as vc
 from railweave.plans import question_checks as qc
 from railweave.plans.registry import query
@@ -47,6 +50,33 @@ def _(r):
     return rt.keyword_join(r.search_docs(), r.station_dim()).select("code", "term_no", "collection", "doc_id", "tf", "both_terms", "score")
 
 
+def _stored(r):
+    """Posting lists of all stations, written and read back."""
+    path = scratch_path(r.spark, "postings")
+    po.write_postings(rt.keyword_join(r.search_docs(), r.station_dim()), path)
+    return po.read_postings(r.spark, path)
+
+
+@query("jn09_stored_postings", "SELECT code, term_no, term, collection, doc_id, tf, both_terms, score FROM {kw_hits}", **qc.KEYWORD)
+def _(r):
+    return po.postings(_stored(r)).drop("same_case")
+
+
+@query("ret04_postings_topk", """
+    SELECT question_id, doc_id, score, rank FROM (
+        SELECT question_id, doc_id, score, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id) AS rank FROM (
+            SELECT order_key AS question_id, doc_id, max(score) AS score FROM {ends} JOIN {kw_hits} ON code IN (src_code, dst_code) GROUP BY order_key, doc_id))
+    WHERE rank <= 10""", **qc.KEYWORD)
+def _(r):
+    """The ten best documents about each train's first and last station, from the stored lists."""
+    pairs = r.ends.select("order_key", F.array_sort(F.array_distinct(F.array("src_code", "dst_code"))).alias("codes"))
+    # questions about the same stations are one search
+    asked = pairs.select("codes").distinct().withColumn("question_id", F.array_join("codes", ">"))
+    best = po.postings_topk(_stored(r), asked.select("question_id", F.explode("codes").alias("code")), 10)
+    named = pairs.select("order_key", F.array_join("codes", ">").alias("question_id"))
+    return named.join(best, "question_id").select(F.col("order_key").alias("question_id"), "doc_id", "score", "rank")
+
+
 _CENTROIDS = dict(
     corpus="SELECT vec_id AS doc_id, label AS collection, list_transform(embedding, lambda x: cast(x as double)) AS v FROM {embeddings}",
     centres="""
@@ -81,6 +111,16 @@ def _(r):
     return vc.vector_topk(asked, r.embedded_docs())
 
 
+@query("ret05_vector_index")
+def _(r):
+    """The same questions through the index; tests hold its recall against the exact search."""
+    path = scratch_path(r.spark, "vector-index")
+    model = vi.fit_index(r.embedded_docs())
+    vi.build_index(r.embedded_docs(), model, path)
+    asked = vc.hashed_embedding(prepared(r).select("question_id", "search_text"), "search_text")
+    return vi.indexed_topk(asked, vi.read_index(r.spark, path), model)
+
+
 @query("ret06_merge_topk", """
     SELECT * FROM (SELECT question_id, collection, doc_id, score, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, collection, doc_id) - 1 AS rank FROM {hits})
     WHERE rank < 10""", **_CENTROIDS)

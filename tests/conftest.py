@@ -10,6 +10,6 @@ from railweave.functions.runtime import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("tests", 8)
+    session = local_session("tests", int(os.environ.get("TEST_CPUS", "8")))
     yield session
     session.stop()

@@ -1,9 +1,11 @@
 """Search operators against brute force on small inputs."""
 
 import random
+from collections import Counter
 from difflib import SequenceMatcher
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from railweave.operators import retrieve as rt
@@ -100,18 +102,45 @@ def test_first_document_beyond_budget_stays(spark):
     assert {r.question_id: r.documents for r in rt.context_budget(df, budget=20).collect()} == {1: 1, 2: 1}
 
 
-def test_long_trains_take_the_asked_pairs(spark):
+@pytest.mark.parametrize("short", [0, 12, 64])
+def test_long_and_short_trains_take_the_asked_pairs(spark, short):
     rng = random.Random(9)
     stops = [(t, f"S{rng.randrange(30)}", i) for t, n in (("short", 5), ("long", 60), ("mid", 12)) for i in range(n)]
-    pairs = [(f"S{rng.randrange(30)}", f"S{rng.randrange(30)}") for _ in range(40)]
-    got = {tuple(r) for r in rt.between_stations(spark.createDataFrame(stops, "train_no string, station_code string, seq int"),
-                                                 spark.createDataFrame(pairs, "origin string, target string")).collect()}
+    pairs = [(f"S{rng.randrange(30)}", f"S{rng.randrange(30)}") for _ in range(40)] + [("S1", "S1")]
+    got = sorted(tuple(r) for r in rt.between_stations(spark.createDataFrame(stops, "train_no string, station_code string, seq int"),
+                                                       spark.createDataFrame(pairs, "origin string, target string"), short).collect())
     first = {}
     for t, s, i in stops:
         first.setdefault((t, s), i)
     want = {(a, b, t, first[t, a], first[t, b]) for a, b in pairs for t in ("short", "long", "mid")
             if (t, a) in first and (t, b) in first and first[t, a] < first[t, b]}
-    assert got == want
+    assert got == sorted(want)
+
+
+def test_a_hub_train_forms_no_pairs_of_its_own(spark):
+    """A train of 3,000 stations and a few asked pairs: no step makes rows near its 4.5 million pairs."""
+    stops = spark.createDataFrame([("hub", f"S{i}", i) for i in range(3000)] + [(f"t{k}", f"S{i}", i) for k in range(50) for i in range(4)], "train_no string, station_code string, seq int")
+    pairs = spark.createDataFrame([(f"S{i}", f"S{2999 - i}") for i in range(3000)], "origin string, target string")
+    found = rt.between_stations(stops, pairs)
+    assert found.count() == 1500
+    assert "CartesianProduct" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_slices_of_clustered_ids_are_even(spark):
+    """Ids in two far clusters, a third of the rows one station's: no slice holds twice the mean."""
+    rng = random.Random(4)
+    rows = [("HUB" if i % 3 == 0 else f"S{i % 97}", "c", 0, (2_000_000_000_000 if i % 7 else 3_000_000_000_000) + i) for i in range(20_000)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "code string, collection string, term_no int, doc_id long")
+    bounds = rt.slice_bounds(df)
+    sizes = Counter(sum(b <= r[3] for b in bounds) for r in rows)
+    assert len(sizes) == rt.SLICES and max(sizes.values()) < 2 * len(rows) / rt.SLICES
+    got = {(r.code, r.doc_id): r.pos for r in rt.rank_postings(df).collect()}
+    lists = {}
+    for code, _, _, doc in sorted(rows, key=lambda r: r[3]):
+        assert got[code, doc] == lists.setdefault(code, 0)
+        lists[code] += 1
+    assert rt.rank_postings(df.limit(0)).collect() == []
 
 
 def test_no_cross_join_in_search_plans(spark):
