@@ -92,10 +92,12 @@ def stratified(df: DataFrame, by: str, n: int, least: int = 20) -> DataFrame:
         quotas.append((row[by], quota, min(1 << 53, int((1 << 53) * 2.0 * quota / max(1, row["rows"])))))
     if not quotas:
         return df.limit(0)
-    drawn = df.sparkSession.createDataFrame(quotas, f"{by} {df.schema[by].dataType.simpleString()}, _quota long, _share long")
-    near = df.withColumn("_place", place).join(drawn, by).filter(F.col("_place") < F.col("_share")).dropDuplicates([by, "_place"])
+    # literals, at most n / least, so the rows are cut where they are read
+    at = F.array_position(F.array(*(F.lit(x) for x, _, _ in quotas)), F.col(by)).cast("int") - 1
+    of = lambda k: F.get(F.array(*(F.lit(x[k]).cast("long") for x in quotas)), at)
+    near = df.filter(F.col(by).isNotNull()).withColumn("_place", place).filter(F.col("_place") < of(2)).dropDuplicates([by, "_place"])
     first = F.row_number().over(Window.partitionBy(by).orderBy("_place"))
-    return near.withColumn("_n", first).filter(F.col("_n") <= F.col("_quota")).select(*df.columns)
+    return near.withColumn("_n", first).filter(F.col("_n") <= of(1)).select(*df.columns)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
