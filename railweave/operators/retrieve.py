@@ -347,13 +347,15 @@ def trim_routes(candidates: DataFrame, stations: str = "stations", number_found:
 
 
 def limit_results(candidates: DataFrame, entity: str = "has_entity", order=("rank",), k: int = fv.TOP_K,
-                  wide: int = fv.RESULT_LIMIT_WITH_ENTITY) -> DataFrame:
-    """25 documents where a station or train number was found, else ``k``.
+                  wide: int | None = fv.RESULT_LIMIT_WITH_ENTITY) -> DataFrame:
+    """``wide`` documents (all, if None) where a station or train number was found, else ``k``.
 
     The constant upper bound lets Spark cut each group before the shuffle.
     """
-    w = W.partitionBy("question_id").orderBy(*order)
-    return (candidates.withColumn("position", F.row_number().over(w)).where(F.col("position") <= max(wide, k))
+    placed = candidates.withColumn("position", F.row_number().over(W.partitionBy("question_id").orderBy(*order)))
+    if wide is None:
+        return placed.where(F.col(entity) | (F.col("position") <= k))
+    return (placed.where(F.col("position") <= max(wide, k))
             .where(F.col("position") <= F.when(F.col(entity), wide).otherwise(k)))
 
 

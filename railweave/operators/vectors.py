@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,21 +37,49 @@ def embed_documents(df: DataFrame, model: Callable[[], Callable[[list[str]], np.
     return df.mapInPandas(run, schema)
 
 
-def hashed_embedding(df: DataFrame, text: str = "content", out: str = "embedding", dim: int = 64) -> DataFrame:
+def _buckets(text: str, dim: int):
+    """Bucket of every word; null for null."""
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{Nd}]+"), lambda w: w != "")
+    return F.transform(words, lambda w: F.pmod(F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("bigint"), F.lit(dim)).cast("int"))
+
+
+def fit_term_weights(documents: DataFrame, text: str = "content", dim: int = 64) -> DataFrame:
+    """(bucket, documents, weight) of all ``dim`` buckets, counted over all documents.
+
+    The weight is the logarithm of (documents + 1) / (documents with the bucket + 1).
+    Counts are summed where the texts are read, so ``dim`` rows leave a task. Null texts
+    count as documents without words. Stored like any table and given to ``hashed_embedding``.
+    """
+    seen = documents.select(F.explode(F.array_distinct(_buckets(text, dim))).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("documents"))
+    total = documents.agg(F.count(F.lit(1))).scalar()
+    every = documents.sparkSession.range(dim).select(F.col("id").cast("int").alias("bucket"))
+    n = F.coalesce("documents", F.lit(0))
+    return every.join(seen, "bucket", "left").select("bucket", n.alias("documents"), F.log((total + 1) / (n + 1)).alias("weight"))
+
+
+def hashed_embedding(df: DataFrame, text: str = "content", out: str = "embedding", dim: int = 64, weights: DataFrame | None = None) -> DataFrame:
     """Offline default: hashed word counts of unit length, needs no model.
 
-    Words are hashed in the JVM; the task only counts buckets.
+    With ``weights`` (see ``fit_term_weights``) a count is multiplied by its bucket's
+    weight. Words are hashed in the JVM; a task counts the buckets of a whole Arrow batch
+    at once. A null text has a null vector, a text without words a zero one.
     """
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{Nd}]+"), lambda w: w != "")
-    buckets = F.transform(words, lambda w: F.pmod(F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("bigint"),
-                                                  F.lit(dim)).cast("int"))
+    factor = np.ones(dim)
+    if weights is not None:
+        for row in weights.select("bucket", "weight").limit(dim).collect():  # a row for each bucket
+            factor[row["bucket"]] = row["weight"]
 
-    @F.pandas_udf("array<double>")
-    def unit_counts(rows: pd.Series) -> pd.Series:
-        counts = [np.bincount(r, minlength=dim).astype("float64") if len(r) else np.zeros(dim) for r in rows]
-        return pd.Series([c / max(np.linalg.norm(c), 1e-12) for c in counts])
+    @F.arrow_udf("array<double>")
+    def unit_counts(rows: pa.Array) -> pa.Array:
+        n = len(rows)
+        sizes = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)
+        place = np.repeat(np.arange(n) * dim, sizes) + rows.flatten().to_numpy(zero_copy_only=False)
+        counts = np.bincount(place, minlength=n * dim).reshape(n, dim) * factor
+        counts = counts / np.maximum(np.linalg.norm(counts, axis=1, keepdims=True), 1e-12)
+        offsets = pa.array(np.arange(n + 1) * dim, pa.int32(), mask=np.append(rows.is_null().to_numpy(zero_copy_only=False), False))
+        return pa.ListArray.from_arrays(offsets, pa.array(counts.ravel()))
 
-    return df.withColumn(out, unit_counts(buckets))
+    return df.withColumn(out, unit_counts(_buckets(text, dim)))
 
 
 def vector_topk(questions: DataFrame, documents: DataFrame, k: int = fv.PER_COLLECTION_K, min_score: float = fv.MIN_RELEVANCE,
@@ -63,11 +93,12 @@ def vector_topk(questions: DataFrame, documents: DataFrame, k: int = fv.PER_COLL
     so neither side is collected or broadcast and no pair of rows is formed. With
     few questions there is one question block, and documents are shuffled once.
     The blocks' winners are merged by a windowed limit. Exact; ties by document id.
+    Rows without a vector take no part.
 
     ``metric='l2_relevance'`` turns squared distance into ``1 - d/sqrt(2)``.
     """
-    q = questions.select(F.col(question_id).alias("question_id"), F.col("embedding").cast("array<double>").alias("v"))
-    d = documents.select("collection", F.col(doc_id).alias("doc_id"), F.col("embedding").cast("array<double>").alias("v"))
+    q = questions.where(F.col("embedding").isNotNull()).select(F.col(question_id).alias("question_id"), F.col("embedding").cast("array<double>").alias("v"))
+    d = documents.where(F.col("embedding").isNotNull()).select("collection", F.col(doc_id).alias("doc_id"), F.col("embedding").cast("array<double>").alias("v"))
     # enough document blocks to keep all tasks busy, unless they would get too small
     tasks = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = lambda df: df.agg(F.count(F.lit(1))).scalar()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from railweave import fixed_values as fv
-from railweave.functions.runtime import scratch_path
+from railweave.functions.runtime import materialise, scratch_path
 from railweave.operators import postings as po
 from railweave.operators import quality as ql
 from railweave.operators import retrieve as rt
@@ -136,6 +136,23 @@ def _(r):
     return vectors.select("doc_id", F.posexplode("embedding").alias("dim", "value")).withColumn("value", F.round("value", 6))
 
 
+@query("udf01_fitted_term_weights", """
+    SELECT doc_id, dim, round(v, 6) AS value FROM (
+        SELECT doc_id, dim, x / greatest(sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 1e-12) AS v FROM (
+            SELECT doc_id, dim, coalesce(n, 0) * ln((total + 1.0::double) / (coalesce(docs, 0) + 1.0::double)) AS x
+            FROM (SELECT doc_id, unnest(generate_series(0, 63)) AS dim, count(*) OVER () AS total FROM {documents})
+            LEFT JOIN {term_counts} USING (doc_id, dim) LEFT JOIN (SELECT dim, count(*) AS docs FROM {term_counts} GROUP BY dim) USING (dim)))""",
+       term_counts="""
+    SELECT doc_id, cast('0x' || substr(md5(w), 1, 8) as bigint) % 64 AS dim, count(*) AS n
+    FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '[^\\p{L}\\p{Nd}]+')) AS w FROM {documents}) WHERE w <> '' GROUP BY ALL""")
+def _(r):
+    """Weights fitted over all documents, stored, read back and applied."""
+    texts = r.documents.select("doc_id", "text")
+    weights = materialise(vc.fit_term_weights(texts, "text"), "term-weights")
+    vectors = vc.hashed_embedding(texts, "text", weights=weights)
+    return vectors.select("doc_id", F.posexplode("embedding").alias("dim", "value")).withColumn("value", F.round("value", 6))
+
+
 @query("udf01_embed_model_hook")
 def _(r):
     """The model hook with a small stand-in model: text length and word count."""
@@ -269,8 +286,8 @@ def _(r):
 
 
 def searched(r):
-    """Hybrid search of all search questions over all documents."""
-    return se.hybrid_search(r.asked(), r.embedded_docs(), r.station_dim(), r.aliases())
+    """Hybrid search of all search questions over all documents, with the published limits."""
+    return se.hybrid_search(r.asked(), r.embedded_docs(), r.station_dim(), r.aliases(), per_number=fv.EXACT_PER_NUMBER, prefix_len=fv.DEDUPE_PREFIX)
 
 
 @query("ret16_hybrid_search", """
@@ -279,6 +296,13 @@ def _(r):
     return searched(r).select("question_id", "position", "doc_id", "collection", "score", "rrf_score", "content")
 
 
+@query("ret16_hybrid_search_questions")
+def _(r):
+    """All questions, nothing merged or cut but the number of results; tests hold it against brute force."""
+    found = se.hybrid_search(r.questions.select("question_id", "question"), r.embedded_docs(), r.station_dim(), r.aliases())
+    return found.select("question_id", "position", "doc_id", "collection", "score", "rrf_score", "content")
+
+
 _CONTEXT = dict(qc.SEARCH, budgeted="""
     SELECT question_id, count(*) AS documents, string_agg('[Doc ' || i || ' | ' || collection || ' | relevance: ' || score || ']' || chr(10) || content, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY i) AS context
     FROM (SELECT *, sum(length(content)) OVER (PARTITION BY question_id ORDER BY position ROWS UNBOUNDED PRECEDING) AS total, row_number() OVER (PARTITION BY question_id ORDER BY position) AS i FROM {results})
