@@ -27,15 +27,19 @@ def carry_train(df: DataFrame, session: str = "session_id", ts: str = "ts", tie:
 
 def recent_turns(df: DataFrame, session: str = "session_id", ts: str = "ts", tie: str = "turn_id", question: str = "question",
                  answer: str = "answer", turns: int = fv.HISTORY_TURNS, chunk: str | None = None, out: str = "history") -> DataFrame:
-    """The last five question-answer pairs before each turn as text, long answers cut."""
-    chunked = df.withColumn("_chunk", hour_chunk(ts) if chunk is None else F.expr(chunk))
-    placed = dense_position(chunked, session, [ts, tie], "_chunk", "_pos").drop("_chunk")
+    """The last five question-answer pairs before each turn as text, long answers cut.
+
+    Turns without a session are one session.
+    """
+    # a struct is no null, so its rows meet in joins
+    chunked = df.withColumn("_chunk", hour_chunk(ts) if chunk is None else F.expr(chunk)).withColumn("_session", F.struct(session))
+    placed = dense_position(chunked, "_session", [ts, tie], "_chunk", "_pos").drop("_chunk")
     pair = F.concat(F.lit("User: "), F.col(question), F.lit("\nAssistant: "), tx.preview(answer)).alias("t")
-    slim = placed.select(*df.columns, "_pos", pair)
-    got = preceding_rows(slim, session, "_pos", turns, ["t"], "_h")
+    slim = placed.select(*df.columns, "_session", "_pos", pair)
+    got = preceding_rows(slim, "_session", "_pos", turns, ["t"], "_h")
     lines = F.array_join(F.transform("_h", lambda x: x["t"]), "\n")
     return got.withColumn(out, F.when(F.size("_h") > 0, F.concat(F.lit(fv.HISTORY_HEADER), lines, F.lit("\n"))).otherwise("")) \
-              .drop("_h", "_pos", "t")
+              .drop("_h", "_pos", "t", "_session")
 
 
 def _sequential(df: DataFrame, keys: list[str], order: list[str], fresh_state: Callable, step: Callable, out_fields: dict[str, DataType],
