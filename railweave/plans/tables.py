@@ -102,6 +102,15 @@ def _(r):
     return src.page_table(r.part, "p_partkey", limit=100, offset=50).select("p_partkey", "p_name", "total")
 
 
+@query("src07_deep_page", """
+    SELECT l_orderkey, l_linenumber, l_partkey, (SELECT count(*) FROM {lineitem}) AS total FROM {lineitem}
+    ORDER BY l_orderkey, l_linenumber, l_partkey LIMIT 100 OFFSET (SELECT count(*) * 5 // 6 FROM {lineitem})""")
+def _(r):
+    """A page behind five sixths of the order lines."""
+    n = r.lineitem.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    return src.page_table(r.lineitem, ["l_orderkey", "l_linenumber", "l_partkey"], 100, n * 5 // 6).select("l_orderkey", "l_linenumber", "l_partkey", "total")
+
+
 @query("src08_point_lookup", "SELECT * FROM (SELECT station_code, title, city FROM {station_info} WHERE upper(station_code) = 'AABC' ORDER BY row_id LIMIT 1)")
 def _(r):
     return src.point_lookup(r.station_info, "station_code", "aabc", first_by="row_id").select("station_code", "title", "city")

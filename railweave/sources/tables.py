@@ -121,14 +121,67 @@ def append_missing(df: DataFrame, root: str, key=("collection", "doc_id")) -> Da
     return todo
 
 
+#: Ranges into which one counting pass cuts the keys, keys sampled for the cuts, rows that are sorted at last.
+RANGES, SAMPLED_KEYS, SORTED_ROWS = 64, 4096, 200_000
+
+
+def _cuts(df: DataFrame, key: str, total: int) -> list:
+    """Keys that cut the rows into about RANGES parts, from a sample of bounded size; any cuts give right pages."""
+    seen = df.select(key).where(F.col(key).isNotNull())
+    keys = sorted(r[0] for r in seen.where(F.rand(7) < min(1.0, SAMPLED_KEYS / max(1, total))).limit(2 * SAMPLED_KEYS).collect())
+    return sorted({keys[len(keys) * i // RANGES] for i in range(1, RANGES)}) if keys else []
+
+
+def rows_between(df: DataFrame, keys: list[str], start: int, end: int, total: int | None = None, sorted_rows: int = SORTED_ROWS) -> DataFrame:
+    """Rows [start, end) in key order, nulls first, without sorting the table.
+
+    A pass over the first key counts the rows of each range; sums of the counts tell which
+    ranges hold the rows wanted, and only those are read on, through a filter that the
+    scan can use. That repeats inside them until few rows are left or all have one key,
+    in which case the next key goes on. What is sorted at last is the page and at most
+    about ``sorted_rows`` rows beside it; rows equal in all keys are in no order.
+    """
+    total = df.agg(F.count(F.lit(1)).alias("n")).first()["n"] if total is None else total
+    part, key, left = df, 0, total
+    end = min(end, total)
+    while key < len(keys) and start < end and left > max(sorted_rows, 2 * (end - start)):
+        name = keys[key]
+        cuts = _cuts(part, name, left)
+        place = F.when(F.col(name).isNull(), -1).otherwise(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(name)))) if cuts else F.when(F.col(name).isNull(), -1).otherwise(0)
+        counts = sorted((r["p"], r["n"], r["a"], r["b"]) for r in part.groupBy(place.alias("p")).agg(F.count(F.lit(1)).alias("n"), F.min(name).alias("a"), F.max(name).alias("b")).collect())
+        before, first, last = 0, None, None
+        for p, n, low, high in counts:  # RANGES rows and one
+            if before + n > start and first is None:
+                first, skipped, lowest, held = p, before, low, 0
+            if first is not None and last is None:
+                held, highest = held + n, high
+                if before + n >= end:
+                    last = p
+            before += n
+        # a range without a lowest key is that of nulls
+        inside = F.col(name).isNull() if first == -1 else F.col(name) >= F.lit(lowest)
+        if last == -1:
+            part = part.where(F.col(name).isNull())
+        else:
+            part = part.where((F.col(name) <= F.lit(highest)) | F.col(name).isNull() if first == -1 else inside & (F.col(name) <= F.lit(highest)))
+        start, end = start - skipped, end - skipped
+        if first == last and (first == -1 or lowest == highest):
+            key += 1  # one key: the next one tells the rows apart
+        elif held == left:
+            break
+        left = held
+    ordered = part.orderBy(*keys[key:]) if key < len(keys) else part
+    return ordered.limit(max(end, 0)).offset(start) if start < end else df.limit(0)
+
+
 def page_table(df: DataFrame, key, limit: int = 100, offset: int = 0) -> DataFrame:
     """One page in key order, with the total row count on each row.
 
-    The page is a top-k (offset + limit), not a full sort; the count reads no columns.
+    Deep pages are found by counted ranges (``rows_between``); the count reads no columns.
     """
-    total = df.agg(F.count(F.lit(1)).alias("total")).scalar()
+    total = df.agg(F.count(F.lit(1)).alias("total")).first()["total"]
     keys = [key] if isinstance(key, str) else list(key)
-    return df.orderBy(*keys).limit(offset + limit).offset(offset).withColumn("total", total)
+    return rows_between(df, keys, offset, offset + limit, total).withColumn("total", F.lit(total))
 
 
 def point_lookup(df: DataFrame, key: str, value: str, first_by: str | None = None) -> DataFrame:
@@ -144,9 +197,8 @@ def list_all(df: DataFrame) -> DataFrame:
 
 
 def slice_rows(df: DataFrame, key, start: int, end: int) -> DataFrame:
-    """Rows [start, end) in key order."""
-    keys = [key] if isinstance(key, str) else list(key)
-    return df.orderBy(*keys).limit(end).offset(start)
+    """Rows [start, end) in key order, see ``rows_between``."""
+    return rows_between(df, [key] if isinstance(key, str) else list(key), start, end)
 
 
 def read_eval_set(spark: SparkSession, path: str) -> DataFrame:
