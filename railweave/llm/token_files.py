@@ -129,7 +129,7 @@ class PieceTokens:
     each id stands for a known number of bytes, the ids are dealt out by bytes.
     """
 
-    LIMIT = 250_000
+    LIMIT = 800_000
     TOGETHER = 4096
     _odd = re.compile(r" (?!\S)")
     _cut = re.compile(r"(?= \S)")
