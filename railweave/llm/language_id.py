@@ -24,8 +24,8 @@ BUCKETS, DIMENSIONS = 1 << 15, 16
 #: Documents in the training and in the calibration sample; the rest of the corpus is only scored.
 TRAIN_DOCS, CALIBRATION_DOCS = 3000, 1000
 EPOCHS, STEP, SEED = 6, 4.0, 7
-#: Scores at which a guess is right less often than this are rejected.
-ACCEPTED_RIGHT = 0.6
+#: Scores are rejected at which guesses are right less often than this part of the way from chance to certainty.
+ABOVE_CHANCE = 0.2
 HELD_OUT = 2
 
 _LETTER = regex.compile(r"\p{L}")
@@ -109,10 +109,10 @@ def train(samples: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
 def calibrate(model: Model, samples: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
     """Temperature of least loss, then the threshold above which accepting pays.
 
-    An accepted text counts 1 - ACCEPTED_RIGHT if right and -ACCEPTED_RIGHT if wrong; the
-    threshold gives the largest sum. Wrong labels at all scores so reject nothing, and
-    for each wrong text that is rejected at most ACCEPTED_RIGHT / (1 - ACCEPTED_RIGHT)
-    right ones go with it.
+    With r the required share of right guesses, an accepted text counts 1 - r if right
+    and -r if wrong; the threshold gives the largest sum. So wrong labels at all scores
+    and texts in two languages reject nothing, and for each wrong text that is rejected
+    at most r / (1 - r) right ones go with it.
     """
     samples = [x for x in samples if x[0] in model.langs]
     if not samples:
@@ -124,7 +124,8 @@ def calibrate(model: Model, samples: list[tuple[str, np.ndarray, np.ndarray]]) -
     chance = softmax(raw / model.temperature)
     score, right = chance.max(axis=1), chance.argmax(axis=1) == truth
     order = np.argsort(-score)
-    gain = np.cumsum(right[order] - ACCEPTED_RIGHT)
+    required = (1 - ABOVE_CHANCE) / len(model.langs) + ABOVE_CHANCE
+    gain = np.cumsum(right[order] - required)
     whole = np.append(np.diff(score[order]) < 0, True)  # equal scores are accepted together
     lowest = len(order) - 1 - int(np.argmax(np.where(whole, gain, -np.inf)[::-1]))
     # if even the last one may be accepted, nothing that is at least as likely as any other guess is rejected
