@@ -26,6 +26,8 @@ TRAIN_DOCS, CALIBRATION_DOCS = 3000, 1000
 EPOCHS, STEP, SEED = 6, 4.0, 7
 #: Scores are rejected at which guesses are right less often than this part of the way from chance to certainty.
 ABOVE_CHANCE = 0.2
+#: What rejecting must gain on the calibration documents, so that a few odd ones decide nothing.
+EVIDENCE = 5.0
 HELD_OUT = 2
 
 _LETTER = regex.compile(r"\p{L}")
@@ -110,9 +112,9 @@ def calibrate(model: Model, samples: list[tuple[str, np.ndarray, np.ndarray]]) -
     """Temperature of least loss, then the threshold above which accepting pays.
 
     With r the required share of right guesses, an accepted text counts 1 - r if right
-    and -r if wrong; the threshold gives the largest sum. So wrong labels at all scores
-    and texts in two languages reject nothing, and for each wrong text that is rejected
-    at most r / (1 - r) right ones go with it.
+    and -r if wrong. The threshold is the lowest whose sum is less than EVIDENCE below
+    the largest. So wrong labels at all scores and texts in two languages reject nothing,
+    and for each wrong text that is rejected at most r / (1 - r) right ones go with it.
     """
     samples = [x for x in samples if x[0] in model.langs]
     if not samples:
@@ -127,7 +129,7 @@ def calibrate(model: Model, samples: list[tuple[str, np.ndarray, np.ndarray]]) -
     required = (1 - ABOVE_CHANCE) / len(model.langs) + ABOVE_CHANCE
     gain = np.cumsum(right[order] - required)
     whole = np.append(np.diff(score[order]) < 0, True)  # equal scores are accepted together
-    lowest = len(order) - 1 - int(np.argmax(np.where(whole, gain, -np.inf)[::-1]))
+    lowest = int(np.flatnonzero(whole & (gain > gain[whole].max() - EVIDENCE))[-1])
     # if even the last one may be accepted, nothing that is at least as likely as any other guess is rejected
     model.threshold = 1 / len(model.langs) if lowest == len(order) - 1 else float(score[order[lowest]])
     return model
