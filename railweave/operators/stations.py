@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from railweave import fixed_values as fv
 from railweave.functions import text as tx
@@ -103,26 +107,35 @@ def station_vocabulary(stations: DataFrame, ignore=fv.VOCABULARY_IGNORE) -> Data
     return stations.select(F.explode(F.array_distinct(tokens)).alias("t")).select("t.*").distinct()
 
 
+@F.arrow_udf(ArrayType(IntegerType()))
+def _offsets(pieces: pa.Array) -> pa.Array:
+    """Characters before each piece of its text, for a whole Arrow batch at once."""
+    sizes = pc.fill_null(pc.list_value_length(pieces), 0).to_numpy(zero_copy_only=False)
+    lengths = pc.utf8_length(pieces.flatten()).to_numpy(zero_copy_only=False)
+    ends, before = np.cumsum(sizes), np.concatenate([[0], np.cumsum(lengths)])
+    places = before[:-1] - np.repeat(before[ends - sizes], sizes)
+    bounds = pa.array(np.concatenate([[0], ends]), pa.int32(), mask=np.append(pieces.is_null().to_numpy(zero_copy_only=False), False))
+    return pa.ListArray.from_arrays(bounds, pa.array(places, pa.int32()))
+
+
 def _placed_words(questions: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
     """Words of a text that match a pattern as a whole, with their character position."""
-    pieces = questions.select(key, F.split(text, _WORD_EDGE).alias("pieces"))
-    words = pieces.select(key, "pieces", F.posexplode("pieces").alias("i", "word")).where(F.col("word").rlike(pattern))
-    return words.select(key, "word", F.length(F.array_join(F.slice("pieces", F.lit(1), F.col("i")), "")).alias("pos"))
+    pieces = questions.select(key, F.split(text, _WORD_EDGE).alias("word")).withColumn("pos", _offsets("word"))
+    return pieces.select(key, F.explode(F.arrays_zip("word", "pos")).alias("p")).select(key, "p.word", "p.pos").where(F.col("word").rlike(pattern))
 
 
 def _mention_hits(questions: DataFrame, aliases: DataFrame, key: str, text: str, stop_words) -> DataFrame:
     """First place of every alias in every text. Word sequences of the text are
-    matched to the alias table by equality, so no text meets every alias."""
+    matched to the alias table by equality, so no text meets every alias; a row holds
+    no more of a text than the longest alias, so the work is linear in its length."""
     usable = aliases.where((F.length("alias") > 2) & ~F.col("alias").isin(*stop_words)).select(
         "alias", "name", "code", F.size(F.split("alias", _WORD_EDGE)).alias("pieces"))
     longest = usable.agg(F.coalesce(F.max("pieces"), F.lit(1))).scalar()
-    pieces = (questions.select(key, F.split(F.lower(text), _WORD_EDGE).alias("pieces"))
-              .withColumn("longest", longest))
-    starts = pieces.select(key, "pieces", "longest", F.posexplode("pieces").alias("i", "piece")).where(F.col("piece").rlike(r"^\w"))
-    phrases = (starts.select(key, "pieces", "i",
-                             F.explode(F.sequence(F.lit(1), F.least("longest", F.size("pieces") - F.col("i")), F.lit(2))).alias("n"))
-               .select(key, F.length(F.array_join(F.slice("pieces", F.lit(1), F.col("i")), "")).alias("start"),
-                       F.array_join(F.slice("pieces", F.col("i") + 1, F.col("n")), "").alias("alias")))
+    pieces = questions.select(key, F.split(F.lower(text), _WORD_EDGE).alias("pieces")).withColumn("at", _offsets("pieces")).withColumn("longest", longest)
+    starts = pieces.select(key, F.explode(F.transform("pieces", lambda _, i: F.struct(
+        F.get("at", i).alias("start"), F.slice("pieces", i + 1, F.col("longest")).alias("next")))).alias("s")).where(F.col("s.next")[0].rlike(r"^\w"))
+    phrases = starts.select(key, F.col("s.start").alias("start"), F.explode(F.transform(
+        F.sequence(F.lit(1), F.size("s.next"), F.lit(2)), lambda n: F.array_join(F.slice("s.next", F.lit(1), n), ""))).alias("alias"))
     return (phrases.join(usable.drop("pieces"), "alias")
             .groupBy(key, "alias", "name", "code").agg(F.min("start").alias("start")))
 

@@ -20,6 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from railweave import fixed_values as fv
+from railweave.functions.runtime import materialise
 
 #: Vectors from which the model is fitted, at most, and collections that have cells of their own.
 SAMPLE, COLLECTIONS = 60_000, 64
@@ -29,6 +30,8 @@ CELLS, SUBSPACES, CENTRES, ROUNDS = 256, 16, 256, 10
 PROBES, SURVIVORS = 96, 128
 #: Documents in a part of a list, and questions in a block, by their mean.
 PART, BLOCK = 4096, 1024
+#: Folders over which the cells are dealt.
+SHARDS = 64
 SEED = 7
 
 
@@ -134,13 +137,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def build_index(documents: DataFrame, model: IndexModel, path: str, part: int = PART, doc_id: str = "doc_id") -> None:
-    """Writes rows (collection, cell, part, ids, codes, vectors) to ``path``.
-
-    Every document with a vector is in exactly one part; parts of a cell hold about
-    ``part`` documents however full the cell is. Codes and vectors are columns of their
-    own, so a search that reads codes does not read vectors.
-    """
+def _assigned(documents: DataFrame, model: IndexModel, doc_id: str) -> DataFrame:
+    """(collection, doc_id, v, cell) of the documents that have a vector."""
     shared = documents.sparkSession.sparkContext.broadcast(model)  # cells and code books, of the model's fixed size
     rows = documents.where(F.col("embedding").isNotNull()).select("collection", F.col(doc_id).alias("doc_id"), F.col("embedding").cast("array<double>").alias("v"))
 
@@ -150,7 +148,13 @@ def build_index(documents: DataFrame, model: IndexModel, path: str, part: int =
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32))], [*batch.schema.names, "cell"])
 
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
-    placed = rows.mapInArrow(assign, f"collection {types['collection']}, doc_id {types['doc_id']}, v array<double>, cell int")
+    return rows.mapInArrow(assign, f"collection {types['collection']}, doc_id {types['doc_id']}, v array<double>, cell int")
+
+
+def _write(placed: DataFrame, model: IndexModel, path: str, part: int) -> None:
+    """Packs documents into parts and replaces the shards that they fall into."""
+    shared = placed.sparkSession.sparkContext.broadcast(model)
+    types = {f.name: f.dataType.simpleString() for f in placed.schema}
     sizes = placed.groupBy("collection", "cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(part)).cast("int").alias("parts"))  # a row for each cell
     sizes = sizes.select(F.col("collection").alias("c"), F.col("cell").alias("l"), "parts")
     placed = placed.join(sizes, F.col("collection").eqNullSafe(F.col("c")) & (F.col("cell") == F.col("l"))).drop("c", "l").withColumn("part", F.pmod(F.xxhash64("doc_id", "v"), "parts").cast("int"))
@@ -165,11 +169,67 @@ def build_index(documents: DataFrame, model: IndexModel, path: str, part: int =
                          pa.array([codes.tobytes()]), pa.array([vectors.astype(np.float64).tobytes()])], names=["collection", "cell", "part", "ids", "codes", "vectors"])
 
     schema = f"collection {types['collection']}, cell int, part int, ids array<{types['doc_id']}>, codes binary, vectors binary"
-    placed.groupBy("collection", "cell", "part").applyInArrow(pack, schema).write.mode("overwrite").parquet(path)
+    packed = placed.groupBy("collection", "cell", "part").applyInArrow(pack, schema).withColumn("shard", F.pmod("cell", F.lit(SHARDS)))
+    packed.write.partitionBy("shard").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def build_index(documents: DataFrame, model: IndexModel, path: str, part: int = PART, doc_id: str = "doc_id") -> None:
+    """Writes rows (collection, cell, part, ids, codes, vectors) to ``path``, an empty or new folder.
+
+    Every document with a vector is in exactly one part; parts of a cell hold about
+    ``part`` documents however full the cell is. Codes and vectors are columns of their
+    own, so a search that reads codes does not read vectors. Cells are dealt over SHARDS
+    folders, which an update replaces one by one.
+    """
+    _write(_assigned(documents, model, doc_id), model, path, part)
+
+
+def update_index(changes: DataFrame, model: IndexModel, path: str, part: int = PART, doc_id: str = "doc_id") -> None:
+    """Brings the index up to date: new, changed and, where ``deleted`` is true, deleted documents.
+
+    Documents are known by their id; of rows that repeat one, any may stand. Only the
+    shards that hold an old or a new version of one of them are read and replaced, and
+    they are then as ``build_index`` with the same model would have made them. Running
+    an update again changes nothing, so a repeated micro-batch does no harm.
+    """
+    spark = changes.sparkSession
+    gone = F.coalesce(F.col("deleted"), F.lit(False)) if "deleted" in changes.columns else F.lit(False)
+    batch = materialise(changes.withColumn("_gone", gone).dropDuplicates([doc_id]).select("collection", F.col(doc_id).alias("doc_id"), "embedding", "_gone"), "index-changes")
+    fresh = materialise(_assigned(batch.where(~F.col("_gone")), model, "doc_id"), "index-fresh")
+    stored = spark.read.parquet(path)
+    known = batch.select("doc_id").distinct()
+    shard = F.pmod("cell", F.lit(SHARDS)).cast("int")
+    old = stored.select("shard", F.explode("ids").alias("doc_id")).join(known, "doc_id", "left_semi").select("shard")
+    # at most SHARDS numbers
+    touched = sorted(r[0] for r in old.unionByName(fresh.select(shard.alias("shard"))).distinct().collect())
+    lists = stored.where(F.col("shard").isin(touched))
+    width = model.cells.shape[1]
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lists in batches:
+            for i in range(len(lists)):
+                ids, flat = lists.column("ids")[i].values, np.frombuffer(lists.column("vectors")[i].as_py())
+                rows = pa.array(np.full(len(ids), i))
+                yield pa.RecordBatch.from_arrays([lists.column("collection").take(rows), ids, pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * width, pa.int32()), pa.array(flat)),
+                                                  lists.column("cell").take(rows)], ["collection", "doc_id", "v", "cell"])
+
+    kept = lists.select("collection", "cell", "ids", "vectors").mapInArrow(unpack, fresh.schema).join(known, "doc_id", "left_anti").select(*fresh.columns)
+    rows = materialise(kept.unionByName(fresh), "index-shards")  # the folder is overwritten, so it cannot be read on
+    filled = {r[0] for r in rows.select(shard.alias("shard")).distinct().collect()}
+    _write(rows, model, path, part)
+    for empty in set(touched) - filled:  # a shard that lost its last document
+        lists.where(F.col("shard") == empty).withColumn("ids", F.slice("ids", 1, 0)).withColumn("codes", F.lit(b"")).withColumn("vectors", F.lit(b"")).limit(1).transform(
+            lambda df: materialise(df, "index-empty")).write.partitionBy("shard").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def stream_index(changes: DataFrame, model: IndexModel, path: str, checkpoint: str, part: int = PART, doc_id: str = "doc_id"):
+    """Keeps the index up to date with a stream of documents (see ``update_index``), one micro-batch after the other."""
+    return (changes.writeStream.foreachBatch(lambda batch, _: update_index(batch, model, path, part, doc_id))
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).where(F.size("ids") > 0)
 
 
 def indexed_topk(questions: DataFrame, index: DataFrame, model: IndexModel, k: int = fv.PER_COLLECTION_K, min_score: float = fv.MIN_RELEVANCE,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from railweave import fixed_values as fv
 from railweave.functions import text as tx
 from railweave.functions.runtime import scratch_path
 from railweave.operators import classify as cl
@@ -14,6 +15,7 @@ from railweave.plans.questions import classified
 from railweave.plans.registry import query
 from railweave.sources import tables as src
 from railweave.streaming import ingest
+from railweave.streaming import sessions as st
 from railweave.streaming import state as sm
 
 # ------------------------------------------------------------------ sessions, limits
@@ -119,6 +121,39 @@ def _(r):
     return _drained(r, carried, "carry").select("event_id", "session_train")
 
 
+_RUNS = dict(
+    gaps="SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM {events}",
+    runs="SELECT *, sum(CASE WHEN gap >= 21600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM {gaps}",
+    passed="SELECT max(epoch_us(ts)) // 1000 - 1800000 AS ms FROM {events}")
+
+
+def _session_stream(r, make, name):
+    """Sessions of the event stream that rest for six hours begin anew; rows that the watermark has not passed wait."""
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = r.spark.conf.get(store)
+    st.state_store(r.spark)
+    try:
+        return _drained(r, make(_event_stream(r).withColumn("train_no", F.when(F.col("event_type") == "purchase", F.col("props"))), "user_id", "ts", "event_id"), name)
+    finally:
+        r.spark.conf.set(store, before)
+
+
+@query("ses01_session_train_stream", """
+    SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN props END IGNORE NULLS) OVER (PARTITION BY user_id, run ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session_train
+    FROM {runs} WHERE epoch_us(ts) // 1000 < (SELECT ms FROM {passed})""", **_RUNS)
+def _(r):
+    return _session_stream(r, st.stream_session_train, "session-train").select("event_id", "session_train")
+
+
+@query("ses02_recent_turns_stream", """
+    SELECT event_id, coalesce(chr(10) || '=== CONVERSATION HISTORY (for context) ===' || chr(10) || nullif(array_to_string(list('User: ' || event_type || chr(10) || 'Assistant: '
+             || CASE WHEN length(props) > 300 THEN substr(props, 1, 300) || '...' ELSE props END) OVER (PARTITION BY user_id, run ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), chr(10)), '') || chr(10), '') AS history
+    FROM {runs} WHERE epoch_us(ts) // 1000 < (SELECT ms FROM {passed})""", **_RUNS)
+def _(r):
+    turns = lambda e, *names: st.stream_recent_turns(e, *names, "event_type", "props")
+    return _session_stream(r, turns, "recent-turns").select("event_id", "history")
+
+
 @query("st04_stream_query_stats", """
     SELECT date_trunc('day', ts) AS window_start, intent, count(*) AS queries, round(avg(response_time_ms), 1) AS avg_response_time_ms, count(error) AS errors
     FROM {query_log} WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM {query_log}) GROUP BY ALL""")
@@ -164,6 +199,12 @@ def _(r):
 
 @query("agg03_top_questions", """
     SELECT substr(trim(lower(question)), 1, 100) AS question, count(*) AS asked, min(ts) AS first_ts FROM {query_log} GROUP BY 1 ORDER BY asked DESC, first_ts, question LIMIT 10""")
+def _(r):
+    return ql.top_questions(r.query_log, chars=fv.TOP_QUESTION_CHARS)
+
+
+@query("agg03_top_whole_questions", """
+    SELECT trim(lower(question)) AS question, count(*) AS asked, min(ts) AS first_ts FROM {query_log} GROUP BY 1 ORDER BY asked DESC, first_ts, question LIMIT 10""")
 def _(r):
     return ql.top_questions(r.query_log)
 

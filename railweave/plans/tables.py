@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from railweave import fixed_values as fv
 from railweave.functions import text as tx
 from railweave.functions.runtime import scratch_path
 from railweave.operators import documents as doc
@@ -51,11 +52,11 @@ def _(r):
     SELECT substr(text, 1, 200) AS question, 'unknown' AS source, false AS live_api_used, 0 AS warnings, 2 AS copies
     FROM {documents}""")
 def _(r):
-    """Long questions are cut; two appends leave both in the log."""
+    """Long questions are cut as published; two appends leave both in the log."""
     path = scratch_path(r.spark, "append-log")
     records = r.documents.select(F.col("doc_id").cast("string").alias("train_no"), F.col("text").alias("question"))
-    src.append_query_log(records, path)
-    src.append_query_log(records, path)
+    src.append_query_log(records, path, chars=fv.LOG_QUESTION_CHARS)
+    src.append_query_log(records, path, chars=fv.LOG_QUESTION_CHARS)
     return (src.read_query_log(r.spark, path).groupBy("train_no", "question", "source", "live_api_used", F.size("validation_warnings").alias("warnings"))
             .agg(F.count(F.lit(1)).cast("int").alias("copies")).drop("train_no"))
 

@@ -8,8 +8,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from railweave import fixed_values as fv
 from railweave.functions import text as tx
+from railweave.functions.runtime import materialise
 
 QUERY_LOG = {
     "ts": "string", "question": "string", "intent": "string", "confidence": "double", "train_no": "string", "num_docs": "int",
@@ -49,10 +49,10 @@ def read_query_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ddl(QUERY_LOG)).option("mode", "FAILFAST").json(path)
 
 
-def log_records(df: DataFrame) -> DataFrame:
-    """Rows in the shape of the question log: question cut to 200 characters, no NULL warnings."""
+def log_records(df: DataFrame, chars: int | None = None) -> DataFrame:
+    """Rows in the shape of the question log: no NULL warnings, the question whole or its first ``chars`` characters."""
     have = set(df.columns)
-    out = df.withColumn("question", F.substring("question", 1, fv.LOG_QUESTION_CHARS))
+    out = df if chars is None else df.withColumn("question", F.substring("question", 1, chars))
     if "validation_warnings" in have:
         out = out.withColumn("validation_warnings",
                              F.coalesce("validation_warnings", F.array().cast("array<string>")))
@@ -68,8 +68,8 @@ def log_records(df: DataFrame) -> DataFrame:
     return out.select(*[F.col(name).cast(kind) for name, kind in QUERY_LOG.items()])
 
 
-def append_query_log(df: DataFrame, path: str) -> None:
-    log_records(df).write.mode("append").option("ignoreNullFields", False).json(path)
+def append_query_log(df: DataFrame, path: str, chars: int | None = None) -> None:
+    log_records(df, chars).write.mode("append").option("ignoreNullFields", False).json(path)
 
 
 def read_collection(spark: SparkSession, root: str, collection: str | None = None,
@@ -88,14 +88,27 @@ def document_id(*key: str | Column) -> Column:
     return F.xxhash64(*[tx.col(k) for k in key])
 
 
-def write_collection(df: DataFrame, root: str, rows_per_file: int = 1_000_000) -> None:
+#: Columns by which documents are looked up.
+LOOKUP_KEYS = ("doc_id", "train_no", "station_code")
+
+
+def write_collection(df: DataFrame, root: str, rows_per_file: int = 1_000_000, keys=LOOKUP_KEYS, block_bytes: int | None = None) -> None:
     """Replace the collections that occur in ``df`` and leave the others alone.
 
     The rows are spread over files by size, so one large collection does not end
-    up in a single writer.
+    up in a single writer. Files are sorted by the first of ``keys`` that ``df`` has, so
+    their statistics are narrow, and hold a Bloom filter of each of them, whose size
+    follows the number of values: a lookup by key (``point_lookup``) skips the row groups
+    that cannot hold it. ``block_bytes`` is the size of a row group.
     """
-    (df.write.partitionBy("collection").mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", rows_per_file).parquet(root))
+    present = [k for k in keys if k in df.columns]
+    writer = (df.sortWithinPartitions("collection", *present[:1]).write.partitionBy("collection").mode("overwrite")
+              .option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", rows_per_file).option("parquet.bloom.filter.adaptive.enabled", True))
+    for k in present:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{k}", True)
+    if block_bytes is not None:
+        writer = writer.option("parquet.block.size", block_bytes)
+    writer.parquet(root)
 
 
 def missing_rows(new: DataFrame, stored: DataFrame, key) -> DataFrame:
@@ -105,18 +118,25 @@ def missing_rows(new: DataFrame, stored: DataFrame, key) -> DataFrame:
 
 
 def append_missing(df: DataFrame, root: str, key=("collection", "doc_id")) -> DataFrame:
-    """Append what is not stored yet; running it twice changes nothing. Returns the appended rows."""
-    collections = [r[0] for r in df.select("collection").distinct().collect()]
-    if not collections:  # an empty batch leaves nothing behind
-        return df
+    """Append what is not stored yet; running it twice changes nothing. Returns the appended rows.
+
+    The batch is evaluated once. Only the partitions of its collections are read, which a
+    join on the partition column prunes; collections are not listed on the driver.
+    """
+    batch = materialise(df.dropDuplicates(list(key)), "batch")
+    if batch.isEmpty():  # an empty batch leaves nothing behind
+        return batch
     try:
-        # the batch's schema, as a store may hold no file yet; only the batch's collections are read
-        stored = df.sparkSession.read.schema(df.schema).parquet(root).where(F.col("collection").isin(*[c for c in collections if c is not None]) | F.col("collection").isNull())
+        # the batch's schema, as a store may hold no file yet
+        stored = df.sparkSession.read.schema(df.schema).parquet(root)
     except AnalysisException as error:
         if not _missing(error):
             raise
         stored = df.limit(0)
-    todo = missing_rows(df.dropDuplicates(list(key)), stored, list(key))
+    named = stored.join(batch.select("collection").distinct(), "collection", "left_semi")
+    known = named.select(*key).unionByName(stored.where(F.col("collection").isNull()).select(*key))
+    same = [F.col(f"b.{k}").eqNullSafe(F.col(f"k.{k}")) for k in key]
+    todo = materialise(batch.alias("b").join(known.alias("k"), same, "left_anti"), "missing")
     todo.write.partitionBy("collection").mode("append").parquet(root)
     return todo
 

@@ -127,7 +127,7 @@ def stream_recent_turns(df: DataFrame, session: str = "session_id", ts: str = "t
     pair = F.concat(F.lit("User: "), F.col(question), F.lit("\nAssistant: "), tx.preview(answer))
 
     def step(memory: list[str], row: dict):
-        history = fv.HISTORY_HEADER + "\n".join(memory) + "\n" if memory else ""
-        return [*memory, row["stream_pair"]][-turns:] if row["stream_pair"] is not None else memory, history
+        history = fv.HISTORY_HEADER + "\n".join(x for x in memory if x is not None) + "\n" if memory else ""
+        return [*memory, row["stream_pair"]][-turns:], history
 
     return _sessions(df.withColumn("stream_pair", pair), session, ts, tie, out, ttl, late, step).drop("stream_pair")

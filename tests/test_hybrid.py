@@ -5,9 +5,12 @@ from collections import defaultdict
 
 import pytest
 
+from railweave.functions.runtime import scratch_path
+from railweave.operators import postings as po
 from railweave.operators import retrieve as rt
 from railweave.operators import search as se
 from railweave.operators import stations as st
+from railweave.operators import vector_index as vi
 from railweave.operators import vectors as vc
 
 NAMES = {"ALP": "Alphaville", "BRV": "Bravotown", "CHR": "Charliebad", "DLT": "Deltaport", "ECH": "Echohausen"}
@@ -107,6 +110,22 @@ def test_whole_results_equal_brute_force(spark, limit):
         assert set(range(1000, 1009)) <= of[1] and len(of[2]) > 25 and of[2] == of[9]
 
 
+def test_stored_indexes_give_the_same_results(spark):
+    """Keyword hits from stored postings and vectors from an index whose cells are all probed."""
+    docs = vc.hashed_embedding(spark.createDataFrame(documents(), DOCS))
+    dim = st.station_dim(*station_tables(spark))
+    aliases = st.alias_index(dim)
+    questions = spark.createDataFrame(QUESTIONS, "question_id long, question string")
+    at = scratch_path(spark, "indexes")
+    po.write_postings(rt.keyword_join(docs, dim, any_case=True), f"{at}/postings")
+    model = vi.fit_index(docs)
+    vi.build_index(docs, model, f"{at}/vectors")
+    near = lambda q: vi.indexed_topk(q, vi.read_index(spark, f"{at}/vectors"), model, probes=10**6, survivors=10**6)
+    found = se.hybrid_search(questions, docs, dim, aliases, keyword_hits=po.postings(po.read_postings(spark, f"{at}/postings")), nearest=near)
+    rows = lambda df: sorted((r.question_id, r.position, r.doc_id, r.rrf_score) for r in df.collect())
+    assert rows(found) == rows(se.hybrid_search(questions, docs, dim, aliases))
+
+
 def station_tables(spark):
     info = spark.createDataFrame([(i, code, name, "city", "1", "1", "0") for i, (code, name) in enumerate(NAMES.items())], "row_id long, station_code string, title string, city string, lat string, lng string, wifi_station string")
     zones = spark.createDataFrame([(i, code, name, "Z", "Zone") for i, (code, name) in enumerate(NAMES.items())], "row_id long, station_code string, station_name string, zone string, zone_name string")

@@ -40,3 +40,23 @@ def test_a_deep_page_is_not_a_sort_of_the_table(spark):
     assert "PushedFilters: [IsNotNull(l_orderkey), GreaterThanOrEqual(l_orderkey" in plan
     want = [tuple(r) for r in df.orderBy("l_orderkey", "l_linenumber").limit(500_100).offset(500_000).select("l_orderkey", "l_linenumber").collect()]
     assert [tuple(r) for r in page.select("l_orderkey", "l_linenumber").collect()] == want
+
+
+def rows_read(df):
+    """Rows that the scan of a query that has run handed on."""
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    return leaves.apply(0).metrics().apply("numOutputRows").value()
+
+
+def test_lookups_skip_row_groups(spark, tmp_path):
+    """By statistics for the sorted key, by Bloom filters for the others; nothing is missed."""
+    root = str(tmp_path / "store")
+    rows = [("trains", i, f"{10000 + i * 7919 % 40_000}", None, "x" * 60) for i in range(40_000)] + [("stations", 10**6 + i, None, f"C{i}", "y") for i in range(300)]
+    df = spark.createDataFrame(rows, "collection string, doc_id long, train_no string, station_code string, content string").repartition(2)
+    src.write_collection(df, root, block_bytes=1 << 16)
+    for column, value, of in (("doc_id", 31_234, "trains"), ("train_no", rows[31_234][2], "trains"), ("station_code", "C77", "stations")):
+        found = src.point_lookup(src.read_collection(spark, root, of), column, value)
+        assert [r[column] for r in found.collect()] == [value]
+        assert rows_read(found) < (8000 if of == "trains" else 301), (column, rows_read(found))
+    absent = src.point_lookup(src.read_collection(spark, root, "trains"), "train_no", "no such")
+    assert absent.collect() == [] and rows_read(absent) < 2000

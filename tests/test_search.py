@@ -1,6 +1,7 @@
 """Search operators against brute force on small inputs."""
 
 import random
+import time
 from collections import Counter
 from difflib import SequenceMatcher
 
@@ -143,6 +144,25 @@ def test_slices_of_clustered_ids_are_even(spark):
     assert rt.rank_postings(df.limit(0)).collect() == []
 
 
+def test_mentions_of_short_and_very_long_texts(spark):
+    """Places are right after other scripts, nulls and empty texts; 100,000 words take about 100 times as long as 1,000."""
+    aliases = spark.createDataFrame([("guntur", "Guntur", "GNT", True), ("new delhi", "New Delhi", "NDLS", True), ("delhi", "Delhi", "DLI", True)], "alias string, name string, code string, is_name boolean")
+    filler = "été 日本 word, "
+    rows = [(1, "From New Delhi to Guntur"), (2, None), (3, ""), (4, filler * 3 + "guntur"), (5, "guntur")]
+    df = spark.createDataFrame(rows, "question_id long, question string")
+    got = {r.question_id: [(m.start, m.name) for m in r.mentions] for r in st.resolve_mentions(df, aliases).collect()}
+    assert got == {1: [(5, "New Delhi"), (18, "Guntur")], 4: [(3 * len(filler), "Guntur")], 5: [(0, "Guntur")]}
+    took = {}
+    for words in (3_000, 100_000):
+        text = filler * (words // 3) + "guntur and new delhi"
+        long = spark.createDataFrame([(1, text)], "question_id long, question string")
+        started = time.perf_counter()
+        found = st.resolve_mentions(long, aliases).first().mentions
+        took[words] = time.perf_counter() - started
+        assert [(m.start, m.code) for m in found] == [(len(filler) * (words // 3), "GNT"), (len(filler) * (words // 3) + 11, "NDLS")]
+    assert took[100_000] < 20
+
+
 def test_no_cross_join_in_search_plans(spark):
     from railweave.plans.roles import Roles
     r = Roles(spark, "/root/testdata/sf0.001")

@@ -95,3 +95,33 @@ def test_odd_tables(spark):
     docs = spark.createDataFrame([(7, "a", [1.0] + [0.0] * 31), (7, "a", [1.0] + [0.0] * 31), (8, "a", None), (9, None, [1.0] * 32)], DOCS)
     model, index = built(spark, docs)
     assert [(r.question_id, r.doc_id) for r in vi.indexed_topk(questions, index, model).orderBy("collection", "rank").collect()] == [(1, 9), (1, 7), (1, 7)]
+
+
+def listed(index):
+    """(collection, cell, part, ids, codes) of all parts."""
+    return sorted((r.collection, r.cell, r.part, tuple(r.ids), bytes(r.codes), bytes(r.vectors)) for r in index.collect())
+
+
+def test_updates_equal_an_index_from_scratch(spark):
+    """Three micro-batches with new, changed, moved and deleted documents, one of them repeated."""
+    vectors = clustered(5, 900)
+    row = lambda i, v, collection="a", deleted=False: (i, collection, v.tolist(), deleted)
+    schema = DOCS + ", deleted boolean"
+    first = [row(i, vectors[i], "ab"[i % 2]) for i in range(500)]
+    batches = [[row(i, vectors[i], "ab"[i % 2]) for i in range(500, 700)] + [row(3, vectors[703], "b"), row(4, vectors[4], "a", True)],
+               [row(i, vectors[i + 100], "b") for i in range(100, 140)] + [row(i, vectors[i], "a", True) for i in range(200, 260)],
+               [row(4, vectors[800], "a"), row(9999, vectors[0], "a", True), row(600, vectors[600], "a", True)]]
+    start = spark.createDataFrame(first, schema)
+    model, index = built(spark, start, cells=24)
+    path = scratch_path(spark, "kept-index")
+    vi.build_index(start, model, path, part=32)
+    now = {r[0]: r for r in first}
+    for batch in [*batches, batches[-1]]:
+        now.update({r[0]: r for r in batch})
+        vi.update_index(spark.createDataFrame(batch, schema), model, path, part=32)
+        rest = [r for r in now.values() if not r[3]]
+        scratch = scratch_path(spark, "scratch-index")
+        vi.build_index(spark.createDataFrame(rest, schema), model, scratch, part=32)
+        assert listed(vi.read_index(spark, path)) == listed(vi.read_index(spark, scratch))
+    vi.update_index(spark.createDataFrame([(*r[:3], True) for r in now.values()], schema), model, path, part=32)
+    assert vi.read_index(spark, path).count() == 0
