@@ -84,8 +84,7 @@ def _(r):
 
 
 def _event_stream(r):
-    schema = r.events.schema
-    return ingest.read_stream(r.spark, r.sf, schema, pattern="events.parquet")
+    return ingest.stream_table(r.spark, f"{r.sf}/events.parquet", r.events.schema)
 
 
 def _as_requests(e):
@@ -169,7 +168,7 @@ def _(r):
     """The stream is run twice from new checkpoints; the second run adds nothing."""
     root = scratch_path(r.spark, "stream-docs")
     for attempt in ("first", "again"):
-        docs = ingest.read_stream(r.spark, r.sf, r.documents.schema, pattern="documents.parquet").select(
+        docs = ingest.stream_table(r.spark, f"{r.sf}/documents.parquet", r.documents.schema).select(
             F.col("lang").alias("collection"), "doc_id", F.col("text").alias("content"))
         ingest.stream_documents(docs, root, scratch_path(r.spark, f"stream-docs-{attempt}")).awaitTermination()
     return (src.read_collection(r.spark, root).groupBy("collection")

@@ -17,6 +17,14 @@ def read_stream(spark: SparkSession, path: str, schema: StructType, max_bytes: i
     return reader.parquet(path)
 
 
+def stream_table(spark: SparkSession, path: str, schema: StructType, max_bytes: int = 1 << 30) -> DataFrame:
+    """One Parquet table as a stream, whether it is a file or a folder of files.
+
+    A stream reads a folder or what a pattern matches, so the path is made a pattern that only it matches.
+    """
+    return read_stream(spark, f"{path[:-1]}[{path[-1]}]", schema, max_bytes)
+
+
 def stream_documents(documents: DataFrame, root: str, checkpoint: str):
     """Appends new documents to the collections. A restarted batch finds its rows
     stored already, so nothing is written twice."""
