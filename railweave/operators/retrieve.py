@@ -52,13 +52,14 @@ def exact_lookup(questions: DataFrame, documents: DataFrame, text: str = "questi
     the join, so a train with many documents is cut where they are stored.
     """
     numbers = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1))
-    wanted = questions.select(F.explode(numbers).alias("train_no")).distinct()
+    # read twice, and small beside the questions it is taken from
+    asked = materialise(questions.select("question_id", F.posexplode(numbers).alias("pos", "train_no")), "numbers")
+    wanted = asked.select("train_no").distinct()
     w = W.partitionBy("collection", "train_no").orderBy("doc_id")
     docs = (documents.where(F.col("collection").isin(*collections)).select("collection", "train_no", "doc_id")
             .join(wanted, "train_no", "left_semi").withColumn("n", F.row_number().over(w)))
     if per_number is not None:
         docs = docs.where(F.col("n") <= per_number)
-    asked = questions.select("question_id", F.posexplode(numbers).alias("pos", "train_no"))
     order = F.array_position(F.array(*[F.lit(c) for c in collections]), F.col("collection"))
     rank = F.row_number().over(W.partitionBy("question_id").orderBy("c", "pos", "n")) - 1
     return (asked.join(docs, "train_no").withColumn("c", order).withColumn("rank", rank)
@@ -314,14 +315,15 @@ def between_stations(stops: DataFrame, pairs: DataFrame, short: int = SHORT_TRAI
     """
     asked = pairs.select("origin", "target").distinct()
     named = asked.select(F.col("origin").alias("station_code")).unionByName(asked.select(F.col("target").alias("station_code"))).distinct()
-    first = stops.join(named, "station_code", "left_semi").groupBy("train_no", "station_code").agg(F.min("seq").alias("seq"))
-    sizes = first.groupBy("train_no").agg(F.count(F.lit(1)).alias("n"))
-    few = first.join(sizes.where(F.col("n") <= short), "train_no").groupBy("train_no").agg(F.array_sort(F.collect_list(F.struct("seq", "station_code"))).alias("at"))
+    # rows are dealt by train once: first places, sizes and lists are formed where they lie
+    first = (stops.join(named, "station_code", "left_semi").select("train_no", "station_code", "seq").groupBy("train_no", "station_code").agg(F.min("seq").alias("seq"))
+             .withColumn("n", F.count(F.lit(1)).over(W.partitionBy("train_no"))).where(F.col("train_no").isNotNull()))
+    few = first.where(F.col("n") <= short).groupBy("train_no").agg(F.sort_array(F.collect_list(F.struct("seq", "station_code"))).alias("at"))
     later = lambda x, i: F.transform(F.filter("at", lambda y: y["seq"] > x["seq"]), lambda y: F.struct(
         x["station_code"].alias("origin"), y["station_code"].alias("target"), x["seq"].alias("from_seq"), y["seq"].alias("to_seq")))
     formed = few.select("train_no", F.explode(F.flatten(F.transform("at", later))).alias("p")).select("p.origin", "p.target", "train_no", "p.from_seq", "p.to_seq")
     # a station asked about with itself is no pair of a train
-    return formed.join(asked, ["origin", "target"], "left_semi").unionByName(_long_trains(first.join(sizes.where(F.col("n") > short).select("train_no"), "train_no"), asked))
+    return formed.join(asked, ["origin", "target"], "left_semi").unionByName(_long_trains(first.where(F.col("n") > short).drop("n"), asked))
 
 
 def _long_trains(first: DataFrame, asked: DataFrame) -> DataFrame:

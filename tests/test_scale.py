@@ -1,5 +1,8 @@
 """What makes the larger tables work: tables in folders, blocks, neither side sent whole, texts left where they are."""
 
+import json
+from datetime import datetime
+
 import numpy as np
 import pytest
 
@@ -7,6 +10,7 @@ import __spark_entry__ as entry
 from railweave.operators import retrieve as rt
 from railweave.operators import stations as st
 from railweave.operators import vectors as vc
+from railweave.plans.roles import Roles
 
 
 @pytest.mark.parametrize("name, table", [("st05_stream_documents", "documents"), ("st01_rate_limit_stream", "events")])
@@ -51,3 +55,61 @@ def test_containment_keeps_rows_apart_and_sends_no_text(spark):
     assert found.columns == ["doc_id", "collection", "term", "same_case"]
     want = [(d, t, t in x) for d, x, _ in rows for t in ("SC", "Guntur", "Guntur Junction") if t.lower() in x.lower()]
     assert sorted((r.doc_id, r.term, r.same_case) for r in found.collect()) == sorted(want)
+
+
+def _shuffles(df) -> list[str]:
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.split("\n") if "Exchange hashpartitioning(" in line]
+
+
+def _roles(spark, tmp_path):
+    """Trains of two and three stops, one without an order, an order without stops, and a null key."""
+    tables = {
+        "region": ("r_regionkey int, r_name string", [(0, "AFRICA")]),
+        "nation": ("n_nationkey int, n_name string, n_regionkey int", [(0, "KENYA", 0)]),
+        "supplier": ("s_suppkey long, s_name string, s_nationkey int, s_acctbal double", [(i, f"S{i}", 0, 10.0 * i) for i in (1, 2, 3)]),
+        "customer": ("c_custkey long, c_name string, c_mktsegment string, c_nationkey int, c_acctbal double", [(1, "C1", "AUTO", 0, 5.0)]),
+        "orders": ("o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+                   [(k, 1, s, 9.0, datetime(2024, 1, 1), "1-URGENT") for k, s in ((1, "F"), (2, "P"), (3, "O"))]),
+        "lineitem": ("l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, "
+                     "l_tax double, l_returnflag string, l_linestatus string",
+                     [(k, 1, s, n, float(n), 1.0, 0.1, 0.02, "N", "O") for k, s, n in ((1, 2, 2), (1, 1, 1), (2, 3, 1), (2, 2, 2), (2, 1, 3), (9, 1, 1), (None, 1, 1))]),
+    }
+    for name, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    return Roles(spark, str(tmp_path))
+
+
+def test_trains_are_gathered_in_one_pass(spark, tmp_path):
+    """Ends and stop lists of a train come from one shuffle of its stops, and the dimension tells its size."""
+    r = _roles(spark, tmp_path)
+    ends = {x.order_key: x for x in r.ends.collect()}
+    assert set(ends) == {1, 2, 9, None}
+    routes = {x.train_number: x for x in r.train_routes().collect()}
+    assert {k: (x.source_station, x.dest_station, x.stop_codes) for k, x in routes.items()} == {
+        "10001": ("AAAB", "nan", '["AAAB","AAAC"]'), "10002": (None, "AAAB", "[AAAD,AAAC,AAAB]")}
+    assert [s["station_code"] for s in json.loads(routes["10002"].stops)] == ["AAAD", "AAAC", "AAAB"]
+    assert ends[2].km == 6.0 and routes["10002"].total_distance_km == "6.0"
+    # one shuffle for the windows, none to group the stops or to join the stations
+    assert len(_shuffles(r.trains(codes=["station_code"]))) == 1
+    assert sorted(x.train_number for x in r.decoded_routes().collect()) == ["10001", "10002"]
+
+
+def test_trains_are_dealt_once_for_pairs(spark):
+    """Train sizes are counted where the first places lie, not joined to them."""
+    rows = [("t", "a", 1), ("t", "b", 2), ("t", "a", 3), ("u", "b", 1), ("u", "a", 2), *[("v", f"s{i}", i) for i in range(5)], ("v", "a", 9), (None, "a", 1), (None, "b", 2)]
+    stops = spark.createDataFrame(rows, "train_no string, station_code string, seq int")
+    pairs = spark.createDataFrame([("a", "b"), ("b", "a"), ("s1", "s4"), ("s4", "a")], "origin string, target string")
+    for short in (64, 2):
+        found = rt.between_stations(stops, pairs, short)
+        assert sorted(tuple(x) for x in found.collect()) == [("a", "b", "t", 1, 2), ("b", "a", "u", 1, 2), ("s1", "s4", "v", 1, 4), ("s4", "a", "v", 4, 9)]
+    plan = rt.between_stations(stops, pairs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") <= 4
+
+
+def test_numbers_of_questions_are_taken_out_once(spark):
+    asked = spark.createDataFrame([(1, "10001 and 10002"), (2, "10001"), (3, None)], "question_id long, question string")
+    documents = spark.createDataFrame([(5, "trains", "10001"), (6, "train_routes", "10001"), (7, "trains", "10002")], "doc_id long, collection string, train_no string")
+    found = rt.exact_lookup(asked, documents)
+    assert sorted((x.question_id, x.rank, x.doc_id) for x in found.collect()) == [(1, 0, 5), (1, 1, 7), (1, 2, 6), (2, 0, 5), (2, 1, 6)]
+    assert "regexp_extract_all" not in found._jdf.queryExecution().optimizedPlan().toString()
