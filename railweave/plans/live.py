@@ -141,20 +141,21 @@ _BOOKINGS = dict(bookings="""
     JOIN (SELECT order_key AS k, string_agg(seq || ':CNF:' || CASE WHEN is_stopping THEN 'CNF' ELSE 'RAC' END || ':S' || day || ':' || halt_min, '|' ORDER BY seq) AS pax FROM {stops} GROUP BY order_key) p ON p.k = o_orderkey""")
 
 
-def _passengers(r, name):
-    """Passenger list of a booking as JSON, with the key names of one shape."""
+def _passengers(name):
+    """Passenger list of a booking, with the key names of one shape."""
     b, c, coach, berth = name
-    one = F.struct("seq", F.lit("CNF").alias(b), F.when(F.col("is_stopping"), "CNF").otherwise("RAC").alias(c),
-                   F.concat(F.lit("S"), F.col("day").cast("string")).alias(coach), F.col("halt_min").alias(berth))
-    return one
+    return F.transform("people", lambda p: F.struct(
+        p["seq"].alias("seq"), F.lit("CNF").alias(b), F.when(p["is_stopping"], "CNF").otherwise("RAC").alias(c),
+        F.concat(F.lit("S"), p["day"].cast("string")).alias(coach), p["halt_min"].alias(berth)))
 
 
 def _booking_base(r):
     shapes = {"a": ("bookingStatus", "currentStatus", "coachId", "seatNo"), "b": ("BookingStatus", "CurrentStatus", "Coach", "Berth"),
               "c": ("bookingStatusDetails", "currentStatusDetails", "coachId", "seatNo")}
-    people = r.stops.groupBy("order_key").agg(*[F.array_sort(F.collect_list(_passengers(r, n))).alias(f"pax_{k}") for k, n in shapes.items()])
     o = r.orders.join(r.customer, F.col("o_custkey") == F.col("c_custkey")).withColumnRenamed("o_orderkey", "order_key")
-    return (o.join(r.ends, "order_key").join(people, "order_key")
+    # each shape lists the same people, who are gathered once
+    return (o.join(r.trains(people=["is_stopping", "day", "halt_min"]), "order_key")
+            .withColumns({f"pax_{k}": _passengers(n) for k, n in shapes.items()}).drop("people")
             .withColumn("pnr", F.lpad(F.col("order_key").cast("string"), 10, "8")).withColumn("train_no", (F.col("order_key") + 10000).cast("string"))
             .withColumn("fetched_at", F.col("o_orderdate").cast("timestamp")).withColumn("source", F.lit("api")))
 

@@ -150,6 +150,8 @@ ROLES: dict[str, str] = {
 
 
 _STORED: dict[tuple[str, str, str], DataFrame] = {}
+#: Roles that are stored, so that Spark knows their size: it takes a join for as large as the product of its sides.
+_DIMENSIONS = {"station_rows"}
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -163,11 +165,31 @@ def role(spark: SparkSession, sf: str, name: str, _memo: dict | None = None) ->
         if name in TABLES:
             memo[name] = table(spark, sf, name)
         else:
-            needs = set(re.findall(r"\{(\w+)\}", ROLES[name]))
-            memo[name] = spark.sql(ROLES[name], **{n: role(spark, sf, n, memo) for n in needs})
+            found = _filled(spark, sf, _with(ROLES[name], "l_orderkey") if name == "stop_rows" else ROLES[name], memo)
+            if name == "stop_rows":
+                # named behind the windows, so that grouping by train finds the rows where the windows left them
+                found = found.withColumn("order_key", F.col("l_orderkey")).drop("l_orderkey")
+            memo[name] = stored(spark, sf, name, lambda: found) if name in _DIMENSIONS else found
     return memo[name]
 
 
+def _with(sql: str, *columns: str) -> str:
+    return re.sub(r"(?=\s+FROM \{)", "".join(f", {c}" for c in columns), sql, count=1)
+
+
+def _filled(spark: SparkSession, sf: str, sql: str, memo: dict) -> DataFrame:
+    return spark.sql(sql, **{n: role(spark, sf, n, memo) for n in set(re.findall(r"\{(\w+)\}", sql))})
+
+
+def stored(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
+    """A stored table (dimension, index) that many queries read: built by the first one
+    that needs it and kept in the shared folder for the rest of the session."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _STORED:
+        _STORED[key] = materialise(build(), name)
+    return _STORED[key]
+
+
 class Roles:
     """Roles of one scale-factor folder; each is built once per query."""
 
@@ -180,42 +202,52 @@ class Roles:
         return role(self.spark, self.sf, name, self._memo)
 
     # --------------------------------------------------------- nested inputs
-    def json_stops(self, *fields) -> DataFrame:
-        """Stop list of a train as JSON text."""
-        s = self.stops
-        one = F.struct("seq", *fields)
-        return (s.groupBy("order_key").agg(F.array_sort(F.collect_list(one)).alias("a"))
-                .select("order_key", F.to_json("a").alias("stops"), F.to_json(F.transform("a", lambda x: x["station_code"])).alias("stop_codes")))
-
-    def train_routes(self) -> DataFrame:
-        """Routes with stop codes and full stops as JSON text; some code lists are not valid JSON."""
-        text = lambda c: F.col(c).cast("string").alias(c)
-        stops = self.json_stops(*[text(c) for c in ("station_code", "station_name", "arrival", "departure", "halt_min", "platform",
-                                                    "distance_km", "day", "zone", "division")])
-        loose = F.replace(F.col("stop_codes"), F.lit('"'), F.lit(""))
-        return (self.ends.join(stops, "order_key").join(self.orders.select(F.col("o_orderkey").alias("order_key"), "o_orderstatus"), "order_key")
+    def _wider(self, name: str, *columns: str, **given: DataFrame) -> DataFrame:
+        """A role with more columns of the tables it reads; ``given`` replaces some of these."""
+        return _filled(self.spark, self.sf, _with(ROLES[name], *columns), {**self._memo, **given})
+
+    def trains(self, stops: DataFrame | None = None, **lists) -> DataFrame:
+        """Ends of each train and lists of fields of its stops, in stop order, from one pass over the stops.
+
+        A stop number occurs once in a train, so it alone settles the order; lists that
+        nobody reads are not gathered.
+        """
+        stops = self.stops if stops is None else stops
+        stops = stops.withColumns({f"_{name}": F.struct("seq", *fields) for name, fields in lists.items()})
+        return self._wider("ends", *[f"sort_array(collect_list(_{name})) AS {name}" for name in lists], stops=stops)
+
+    def calls(self) -> DataFrame:
+        """Ends and stop codes of each train, stored for queries that read the ends several times;
+        roles that are asked for after this read them from here."""
+        found = self._once("calls", lambda: self.trains(codes=["station_code"]).withColumn("codes", F.transform("codes", lambda x: x["station_code"])))
+        self._memo["ends"] = found.drop("codes")
+        return found
+
+    def train_routes(self, trains: DataFrame | None = None) -> DataFrame:
+        """Routes with stop codes and, unless ``trains`` come without, full stops as JSON text; some code lists are not valid JSON."""
+        if trains is None:
+            text = [F.col(c).cast("string").alias(c) for c in ("station_code", "station_name", "arrival", "departure", "halt_min", "platform",
+                                                               "distance_km", "day", "zone", "division")]
+            trains = (self.trains(codes=["station_code"], stop_list=text).withColumn("codes", F.transform("codes", lambda x: x["station_code"]))
+                      .withColumn("stops", F.to_json("stop_list")))
+        coded = F.to_json("codes")
+        loose = F.replace(coded, F.lit('"'), F.lit(""))
+        return (trains.join(self.orders.select(F.col("o_orderkey").alias("order_key"), "o_orderstatus"), "order_key")
                 .select((F.col("order_key") + 10000).cast("string").alias("train_number"),
                         F.when(F.col("o_orderstatus") != "P", F.col("src_code")).alias("source_station"),
                         F.when(F.col("o_orderstatus") != "F", F.col("dst_code")).otherwise("nan").alias("dest_station"),
                         F.col("km").cast("string").alias("total_distance_km"),
                         F.when(F.col("o_orderstatus") != "P", F.col("total_stops").cast("string")).alias("total_stops"),
-                        F.when(F.col("o_orderstatus") == "P", loose).otherwise(F.col("stop_codes")).alias("stop_codes"), "stops"))
+                        F.when(F.col("o_orderstatus") == "P", loose).otherwise(coded).alias("stop_codes"), *[c for c in trains.columns if c == "stops"]))
 
     def decoded_routes(self) -> DataFrame:
-        stops = self.json_stops("station_code", "arrival", "departure", F.col("halt_min").alias("halt_minutes"), "distance_km",
-                                "day", "is_stopping").drop("stop_codes")
-        info = self.train_info.select(F.col("row_id").alias("order_key"), "train_number", "train_name",
-                                      F.col("src_station_code").alias("source_station"), F.col("dest_station_code").alias("dest_station"),
-                                      F.col("distance_km").alias("total_distance_km"), "total_stops")
-        return info.join(stops, "order_key").withColumnRenamed("order_key", "row_id")
+        trains = self.trains(stop_list=["station_code", "arrival", "departure", F.col("halt_min").alias("halt_minutes"), "distance_km", "day", "is_stopping"])
+        info = self._wider("train_info", "stop_list", ends=trains).where(F.col("stop_list").isNotNull())
+        return info.select("row_id", "train_number", "train_name", F.col("src_station_code").alias("source_station"), F.col("dest_station_code").alias("dest_station"),
+                           F.col("distance_km").alias("total_distance_km"), "total_stops", F.to_json("stop_list").alias("stops"))
 
     def _once(self, name: str, build) -> DataFrame:
-        """A stored table (dimension, index) that many queries read: built by the first one
-        that needs it and kept in the shared folder for the rest of the session."""
-        key = (self.spark.sparkContext.applicationId, self.sf, name)
-        if key not in _STORED:
-            _STORED[key] = materialise(build(), name)
-        return _STORED[key]
+        return stored(self.spark, self.sf, name, build)
 
     def station_dim(self) -> DataFrame:
         return self._once("station-dim", lambda: st.station_dim(self.station_info, self.station_zones, self.station_aka))
@@ -227,30 +259,33 @@ class Roles:
         return self._once("search-questions", lambda: self.search_questions)
 
     def search_docs(self) -> DataFrame:
-        return self._once("search-docs", self._search_docs)
+        """All documents. Train documents are stored apart, as the routes' names are read out of them."""
+        self.calls()
+        trains = self._once("train-docs", lambda: doc.train_documents(self.train_info).withColumn("doc_id", F.lit(1) * 10**12 + F.col("train_no").cast("bigint")))
+        others = self._once("search-docs", lambda: self._other_docs(trains))
+        return doc.load_all_documents([trains, others])
 
     def embedded_docs(self) -> DataFrame:
         """The search documents with their vectors: the index that searches read."""
         return self._once("embedded-docs", lambda: vc.hashed_embedding(self.search_docs()))
 
-    def _search_docs(self) -> DataFrame:
-        """Train, station, route, rule and reference documents with ids that both engines can compute."""
-        trains = doc.train_documents(self.train_info).withColumn("doc_id", F.lit(1) * 10**12 + F.col("train_no").cast("bigint"))
+    def _other_docs(self, trains: DataFrame) -> DataFrame:
+        """Station, route, rule and reference documents with ids that both engines can compute."""
         stations = (doc.station_documents(self.station_dim()).join(self.station_rows.select("station_code", "row_id"), "station_code")
                     .withColumn("doc_id", F.lit(2) * 10**12 + F.col("row_id")).drop("row_id"))
-        routes = doc.enriched_route_documents(self.train_routes(), trains).withColumn("doc_id", F.lit(3) * 10**12 + F.col("train_no").cast("bigint"))
+        routes = doc.enriched_route_documents(self.train_routes(self.calls()), trains).withColumn("doc_id", F.lit(3) * 10**12 + F.col("train_no").cast("bigint"))
         plain = lambda df, base, key, collection, kind: df.select(
             (F.lit(base) * 10**12 + F.col(key)).alias("doc_id"), F.lit(collection).alias("collection"), F.lit(kind).alias("source_type"),
             F.col("text").alias("content"))
         rules = plain(self.documents, 4, "doc_id", "railway_rules", "rule")
         references = plain(self.benchmark, 5, "item_id", "references", "reference")
-        return doc.load_all_documents([trains, stations, routes, rules, references])
+        return doc.load_all_documents([stations, routes, rules, references])
 
     def status_payloads(self) -> DataFrame:
-        stops = self.status_stops.groupBy("order_key").agg(F.array_sort(F.collect_list(F.struct(
-            "seq", "station_name", "platform", "arrival", "arrival_delay_minutes", "departure", "departure_delay_minutes", "status"))).alias("stations"))
+        stops = self._wider("status_stops", "n_stops", "l_quantity", "station_code", "dep", "arr")
+        trains = self.trains(stops, stations=["station_name", "platform", "arrival", "arrival_delay_minutes", "departure", "departure_delay_minutes", "status"])
         fields = ["train_no", "train_name", "position", "current_station", "delay_minutes", "progress_percent", "stations"]
-        return (self.status_rows.join(stops, "order_key")
+        return (self._wider("status_rows", "stations", ends=trains)
                 .select("order_key", "train_no", "fetched_at", F.lit("RapidAPI").alias("source"), F.to_json(F.struct(*fields)).alias("payload")))
 
     def status_pages(self) -> DataFrame:
@@ -261,13 +296,12 @@ class Roles:
                   F.replace(F.col("arr"), F.lit("."), F.lit(":")), F.lit("</span>\n<span>"), F.replace(F.col("dep"), F.lit("."), F.lit(":")),
                   tx.part(F.col("day") > 1, '<span class="w3-round">', F.col("day").cast("string"), " Min late</span>"),
                   F.lit("</span></div></div>\n"))
-        blocks = (self.stops.select("order_key", "seq", block.alias("b")).groupBy("order_key")
-                  .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "b"))), lambda x: x["b"]), "").alias("blocks")))
+        trains = self.trains(blocks=[block.alias("b")]).withColumn("blocks", F.array_join(F.transform("blocks", lambda x: x["b"]), ""))
         phrase = (F.when(F.col("o_orderstatus") == "F", c(F.lit("Departed from <b>"), "src_name", F.lit("</b> ("), "src_code", F.lit(") Delay: 01:"),
                                                           F.lpad(F.col("total_stops").cast("string"), 2, "0")))
                   .when(F.col("o_orderstatus") == "O", c(F.lit("Arrived at "), "src_name", F.lit(" (X) Delay: "), F.col("total_stops").cast("string"), F.lit(" Min")))
                   .otherwise("No news"))
-        s = self.status_rows.join(self.ends, "order_key").join(blocks, "order_key")
+        s = self._wider("status_rows", "src_name", "src_code", "total_stops", "blocks", ends=trains)
         page = c(F.lit("<html><head><style>p{x:y}</style>\n<script>var delay = 1;</script></head><body>\n<h3>"), "train_no", F.lit(" - "), "train_name",
                  F.lit("</h3>\n<p>"), phrase, F.lit("</p>\n"), "blocks", F.lit("</body></html>"))
         return s.select("order_key", "train_no", "fetched_at", page.alias("payload"))

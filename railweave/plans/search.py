@@ -223,11 +223,12 @@ def _route_candidates(r):
     docs = r.search_docs().where(F.col("collection").isin("trains", "train_routes"))
     keys = (F.col("order_key") + 10000).cast("string")
     end = lambda n: F.struct(F.col(f"{n}_name").alias("name"), F.col(f"{n}_code").alias("code"))
-    asked = r.ends.select(keys.alias("train_no"), F.explode(F.array(
-        F.struct(F.lit("there").alias("way"), F.array(end("src"), end("dst")).alias("stations")),
-        F.struct(F.lit("back").alias("way"), F.array(end("dst"), end("src")).alias("stations")))).alias("a"))
-    return (asked.select(F.concat("train_no", F.lit("-"), "a.way").alias("question_id"), "train_no", "a.stations").join(docs, "train_no")
-            .withColumn("rank", F.col("doc_id")))
+    ways = F.explode(F.array(F.struct(F.lit("there").alias("way"), F.array(end("src"), end("dst")).alias("stations")),
+                             F.struct(F.lit("back").alias("way"), F.array(end("dst"), end("src")).alias("stations"))))
+    # both questions meet the same documents, so a train meets them once
+    found = r.ends.select(keys.alias("train_no"), "src_name", "src_code", "dst_name", "dst_code").join(docs, "train_no")
+    return (found.withColumn("a", ways).select(F.concat("train_no", F.lit("-"), "a.way").alias("question_id"), "train_no", "a.stations",
+                                               *[c for c in docs.columns if c != "train_no"], F.col("doc_id").alias("rank")))
 
 
 @query("ret09_validate_route", "SELECT question_id, doc_id, valid_route FROM {validated}", **_ROUTES)

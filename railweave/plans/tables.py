@@ -222,7 +222,8 @@ def _(r):
 
 @query("doc08_enriched_route_documents", "SELECT * FROM {enriched_docs}")
 def _(r):
-    return doc.enriched_route_documents(r.train_routes(), doc.train_documents(r.train_info)).drop("doc_id", "collection", "source_type")
+    calls = r.calls()
+    return doc.enriched_route_documents(r.train_routes(calls), doc.train_documents(r.train_info)).drop("doc_id", "collection", "source_type")
 
 
 _STOP_DOC = """
