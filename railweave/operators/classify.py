@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from itertools import groupby
 
@@ -10,23 +11,56 @@ from pyspark.sql import functions as F
 
 from railweave import fixed_values as fv
 from railweave.functions import text as tx
+from railweave.functions.runtime import materialise
+
+#: Text that stands for itself in a pattern, what a word of it may hold besides, gaps between its parts, and the part that is a number.
+_PLAIN, _LOOSE, _GAP, _NUMBER = r"[A-Za-z0-9 ']+", r"\\s\+|\\d\??|.\?|\.", r"\.\{\d+,\d+\}", r"\b\d{4,5}\b"
+
+
+def _needed(pattern: str) -> tuple[bool, list[list[str]]]:
+    """Whether a text must hold four digits, and words, lower-cased and one of each list, where ``pattern`` matches it.
+
+    Parts of a pattern between gaps such as ``.{0,25}`` all match where the pattern does.
+    Only numbers, words and choices of words tell anything; patterns whose gaps lie
+    inside a group or a choice tell nothing.
+    """
+    parts = re.split(_GAP, pattern)
+    outside = re.sub(r"\([^()]*\)", "", pattern)
+    if "|" in outside or any(p.count("(") != p.count(")") or p[:1] in ("?", "+", "*", ")") or "[" in p or r"\(" in p or r"\)" in p for p in parts):
+        return False, []
+    units = [re.sub(r"^\\b|\\b$", "", u) for p in parts for u in re.split(r"\\s\+(?![^()]*\))", p)]
+    choices = [u.removeprefix("(").removesuffix(")").split("|") for u in units if re.fullmatch(r"[^()]*|\([^()]*\)", u)]
+    words = [[max(re.split(_LOOSE, alternative), key=len).lower() for alternative in choice] for choice in choices]
+    return _NUMBER in parts, [some for some in words if all(re.fullmatch(_PLAIN, w) for w in some)]
 
 
 def match_patterns(df: DataFrame, text: str = "question", patterns=fv.QUESTION_PATTERNS) -> DataFrame:
-    """Category and confidence of the first pattern that matches, NULL if none does."""
-    q = F.col(text)
-    ladder = F.coalesce(*[F.when(q.rlike(f"(?i){p}"), F.struct(F.lit(c).alias("category"), F.lit(float(s)).alias("confidence")))
-                          for p, c, s in patterns])
-    return (df.withColumn("_m", ladder).withColumn("pattern_category", F.col("_m.category"))
+    """Category and confidence of the first pattern that matches, NULL if none does.
+
+    A pattern is tried only on texts that hold the words it cannot do without; looking
+    for words costs little beside a pattern.
+    """
+    def ladder(row: Column) -> Column:
+        def matches(pattern: str) -> Column:
+            number, words = _needed(pattern)
+            tests = [row["digits"]] * number + [tx.contains_any(row["low"], some) for some in words]
+            return reduce(lambda a, b: a & b, [*tests, row["text"].rlike(f"(?i){pattern}")])
+
+        return F.coalesce(*[F.when(matches(p), F.struct(F.lit(c).alias("category"), F.lit(float(s)).alias("confidence"))) for p, c, s in patterns])
+
+    # bound to a row, as generated code for the whole ladder is too long for the JVM to compile
+    row = F.struct(F.col(text).alias("text"), F.lower(text).alias("low"), F.col(text).rlike(r"\d{4}").alias("digits"))
+    return (df.withColumn("_m", tx.bind(row, ladder)).withColumn("pattern_category", F.col("_m.category"))
             .withColumn("pattern_confidence", F.col("_m.confidence")).drop("_m"))
 
 
 def _whole_words(lowered: Column, tokens: Column, keywords) -> Column:
     """The keywords that occur as whole words, in list order. Single words are compared
-    with the tokens; only the phrases need a pattern."""
+    with the tokens; only phrases that the text contains need a pattern."""
     runs = [(phrase, list(words)) for phrase, words in groupby(keywords, key=lambda k: " " in k)]
     none = F.array().cast("array<string>")
-    found = [F.concat(*[F.when(lowered.rlike(rf"\b{p}\b"), F.array(F.lit(p))).otherwise(none) for p in words]) if phrase
+    whole = lambda p: lowered.contains(p) & lowered.rlike(rf"\b{p}\b") if re.fullmatch(_PLAIN, p) else lowered.rlike(rf"\b{p}\b")
+    found = [F.concat(*[F.when(whole(p), F.array(F.lit(p))).otherwise(none) for p in words]) if phrase
              else F.array_intersect(F.array(*[F.lit(k) for k in words]), tokens) for phrase, words in runs]
     return F.concat(*found)
 
@@ -117,9 +151,12 @@ def classify_questions(questions: DataFrame, vocabulary: DataFrame, key: str = "
 
     Classification depends on the text alone, so it runs once per distinct text.
     A text that many questions share is merged before it is shuffled. A question
-    without a text is classified as an empty one.
+    without a text is classified as an empty one. Texts and their classes are stored, as
+    several steps, here and behind this one, read them.
     """
     texts = questions.select(F.coalesce(F.col(text), F.lit("")).alias(text)).distinct()
+    # short texts are much work, so they are dealt to all tasks whatever their size
+    texts = materialise(texts.repartition(int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions")), text), "texts")
     prepared = score_intent(count_keywords(match_patterns(extract_entities(has_station(texts, vocabulary, text, text), text), text), text), text)
     matched = F.col("pattern_category").isNotNull()
     category = F.coalesce("pattern_category", "category")
@@ -133,7 +170,7 @@ def classify_questions(questions: DataFrame, vocabulary: DataFrame, key: str = "
         F.when(is_pnr, F.col("pnr")).alias("pnr"), is_pnr.alias("is_pnr"),
         F.when(matched, F.array(F.concat(F.lit("Pattern match → "), category))).otherwise(F.col("reasons")).alias("reasons"))
     same = F.coalesce(questions[text], F.lit("")) == F.col("_text")
-    return questions.join(result.withColumnRenamed(text, "_text"), same).drop("_text")
+    return questions.join(materialise(result.withColumnRenamed(text, "_text"), "classes"), same).drop("_text")
 
 
 def session_upgrade(df: DataFrame, text: str = "question", own: str = "train_no", carried: str = "session_train") -> DataFrame:

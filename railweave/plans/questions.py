@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from railweave import fixed_values as fv
 from railweave.functions import text as tx
+from railweave.functions.runtime import materialise
 from railweave.operators import classify as cl
 from railweave.operators import retrieve as rt
 from railweave.operators import sessions as ss
@@ -66,7 +67,7 @@ def _(r):
 
 
 def classified(r):
-    return cl.classify_questions(r.questions, st.station_vocabulary(r.station_dim()))
+    return cl.classify_questions(r.kept_questions(), st.station_vocabulary(r.station_dim()))
 
 
 @query("txt09_classify_questions", "SELECT question_id, c.* FROM {questions} q JOIN {classified} c ON c.question = q.question", **qc.CLASSIFY)
@@ -84,7 +85,8 @@ _UPGRADED = dict(**qc.CLASSIFY, upgraded=f"""
 
 
 def upgraded(r):
-    return cl.session_upgrade(ss.carry_train(classified(r)))
+    """The classified questions are stored: carrying a train number on reads them twice."""
+    return cl.session_upgrade(ss.carry_train(materialise(classified(r), "classified")))
 
 
 @query("txt10_session_upgrade", "SELECT question_id, intent, train_no FROM {upgraded}", **_UPGRADED)

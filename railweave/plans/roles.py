@@ -255,6 +255,10 @@ class Roles:
     def aliases(self) -> DataFrame:
         return self._once("aliases", lambda: st.alias_index(self.station_dim()))
 
+    def kept_questions(self) -> DataFrame:
+        """The questions, stored for queries that read them several times."""
+        return self._once("questions", lambda: self.questions)
+
     def asked(self) -> DataFrame:
         return self._once("search-questions", lambda: self.search_questions)
 
