@@ -171,3 +171,26 @@ def test_no_cross_join_in_search_plans(spark):
                rt.exact_lookup(r.asked(), docs), vc.vector_topk(vc.hashed_embedding(r.asked(), "question"), r.embedded_docs())):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_documents_are_cut_no_finer_than_the_tasks_need(spark):
+    blocks = lambda n, q_blocks: spark.range(1).select(vc._document_blocks(F.lit(n), F.lit(q_blocks), F.lit(131072), 200)).first()[0]
+    assert blocks(1_800_000, 1) == 400 and blocks(1_800_000, 11) == 37 and blocks(18_000_000, 1000) == 138 and blocks(0, 1) == 1
+
+
+def test_only_wanted_collections_are_scored(spark):
+    rows = [("a", 1, [1.0, 0.0]), ("a", 2, [0.8, 0.6]), ("b", 3, [1.0, 0.0]), ("c", 4, [0.6, 0.8])]
+    documents = spark.createDataFrame(rows, "collection string, doc_id long, embedding array<double>")
+    asked = spark.createDataFrame([("x", [1.0, 0.0], ["a"]), ("y", [0.6, 0.8], ["b", "c"]), ("z", [1.0, 0.0], None), ("w", [1.0, 0.0], [])],
+                                  "question_id string, embedding array<double>, active array<string>")
+    got = {(r["question_id"], r["doc_id"], r["rank"]) for r in vc.vector_topk(asked, documents, min_score=0.5, wanted="active").collect()}
+    assert got == {("x", 1, 1), ("x", 2, 2), ("y", 3, 1), ("y", 4, 1), ("z", 1, 1), ("z", 2, 2), ("z", 3, 1), ("z", 4, 1)}
+
+
+def test_wrong_trains_are_dropped_in_one_reading(spark):
+    rows = [(1, "10", "train_routes", True), (1, "10", "trains", False), (1, "11", "trains", False), (1, None, "trains", False), (1, "11", "rules", False),
+            (2, "11", "trains", False), (None, "10", "train_routes", True), (None, "11", "trains", False), (3, None, "train_routes", True), (3, None, "trains", False)]
+    candidates = spark.createDataFrame(rows, "question_id int, train_no string, collection string, valid_route boolean")
+    kept = rt.drop_wrong_trains(candidates)
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    assert {tuple(r) for r in kept.collect()} == {r for r in rows if r not in [(1, "11", "trains", False), (1, None, "trains", False), (3, None, "trains", False)]}
