@@ -6,6 +6,8 @@ row holds the ids, codes and full vectors of a part. A search joins questions wi
 nearest cells of every collection, scores the codes of those lists only, and reads full
 vectors for the survivors' parts alone. Questions of a cell are packed into blocks, so a
 list is sent once for many questions and what is shuffled does not grow with their number.
+The lists of the very nearest cells are scored first: they give each question a score that
+its survivors reach, so the parts of all other lists return next to nothing else.
 """
 
 from __future__ import annotations
@@ -28,8 +30,14 @@ SAMPLE, COLLECTIONS = 60_000, 64
 CELLS, SUBSPACES, CENTRES, ROUNDS = 256, 16, 256, 10
 #: Cells of each collection that a question looks into, and candidates re-ranked per question and collection.
 PROBES, SURVIVORS = 96, 128
-#: Documents in a part of a list, and questions in a block, by their mean.
-PART, BLOCK = 4096, 1024
+#: Nearest cells of each collection that are scored first: so many, and on until they hold so many times the survivors.
+NEAR, NEAR_SURVIVORS = 4, 4
+#: Scores that a part reports of its best ones then, at equal steps of rank.
+LEVELS = 16
+#: Documents in a part of a list, and questions in a block, by their mean; questions in a block of the exact scores.
+PART, BLOCK, EXACT_BLOCK = 4096, 1024, 8192
+#: Questions and codes that are multiplied at once: their products stay in a core's cache.
+TILE_QUESTIONS, TILE_CODES = 512, 512
 #: Folders over which the cells are dealt.
 SHARDS = 64
 SEED = 7
@@ -60,12 +68,15 @@ class IndexModel:
 
     def probes(self, vectors: np.ndarray, n: int) -> np.ndarray:
         """The n cells of each collection whose centres have the largest products with each vector."""
-        out = []
+        return np.concatenate(list(self.nearest(vectors, n)), axis=1)
+
+    def nearest(self, vectors: np.ndarray, n: int) -> Iterator[np.ndarray]:
+        """The same for one collection after the other, the nearest cell first."""
         for cells in self.of.values():
             product = vectors @ self.cells[cells].T
             few = min(n, len(cells))
-            out.append(cells[np.argpartition(-product, few - 1, axis=1)[:, :few]])
-        return np.concatenate(out, axis=1)
+            some = np.argpartition(-product, few - 1, axis=1)[:, :few]
+            yield cells[np.take_along_axis(some, np.argsort(-np.take_along_axis(product, some, 1), axis=1, kind="stable"), 1)]
 
     def encode(self, vectors: np.ndarray, cell: np.ndarray) -> np.ndarray:
         """One byte per subspace."""
@@ -232,6 +243,65 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).where(F.size("ids") > 0)
 
 
+def _products(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both sides in single precision, unless that is too small for them, and the most by which a product of a row of ``a`` may be off."""
+    norm_a, norm_b = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1).max(initial=0)
+    kind = np.float32 if norm_a.max(initial=0) * norm_b < 1e30 else np.float64
+    with np.errstate(over="ignore"):
+        return a.astype(kind), np.ascontiguousarray(b.astype(kind).T), (a.shape[1] + 10) * 2.0 ** -23 * norm_a * norm_b
+
+
+def _levels(vectors: np.ndarray, documents: np.ndarray, survivors: int) -> np.ndarray:
+    """Per vector, scores that its best 1, 2, 3 … times ``survivors // LEVELS`` documents reach, in that order."""
+    step, n = max(1, survivors // LEVELS), min(survivors, len(documents))
+    a, b, error = _products(vectors, documents)
+    out = np.empty((len(a), n // step))
+    for low in range(0, len(a), TILE_QUESTIONS):
+        rows = slice(low, low + TILE_QUESTIONS)
+        guess = a[rows] @ b
+        guess[~np.isfinite(guess)] = -np.inf
+        best = np.sort(np.partition(guess, len(documents) - n, axis=1)[:, len(documents) - n:], axis=1)[:, ::-1]
+        out[rows] = best[:, step - 1::step].astype(np.float64) - error[rows, None]
+    return np.where(np.isnan(out), -np.inf, out)
+
+
+def _reaching(vectors: np.ndarray, documents: np.ndarray, floor: np.ndarray, survivors: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(vector, document, score) of each vector's best ``survivors`` documents with a finite score of at least its ``floor``.
+
+    Products in single precision pass over what is below the floor by more than their error.
+    """
+    a, b, error = _products(vectors, documents)
+    near = floor - error
+    if a.dtype == np.float32:
+        near = np.nextafter(near.astype(np.float32), np.float32(-np.inf))
+    room = np.empty(TILE_QUESTIONS * TILE_CODES, a.dtype)
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for low in range(0, len(a), TILE_QUESTIONS):
+        tile = a[low:low + TILE_QUESTIONS]
+        for first in range(0, b.shape[1], TILE_CODES):
+            codes = b[:, first:first + TILE_CODES]
+            n, m = len(tile), codes.shape[1]
+            guess = np.matmul(tile, codes, out=room[:n * m].reshape(n, m))
+            some = np.flatnonzero(~(guess.max(axis=1) < near[low:low + n]))  # what is no number is settled below
+            if not len(some):
+                continue
+            row, col = np.divmod(np.flatnonzero(~(guess[some] < near[low + some, None])), m)
+            row, col = low + some[row], first + col
+            if 8 * len(row) > n * m:
+                score = (vectors[low:low + n] @ documents[first:first + m].T)[row - low, col - first]
+            else:
+                score = np.einsum("ij,ij->i", vectors[row], documents[col])
+            kept = np.flatnonzero((score >= floor[row]) & np.isfinite(score))
+            found.append((row[kept], col[kept], score[kept]))
+    row, col, score = (np.concatenate(x) for x in zip(*found, strict=True))
+    if len(row) and np.bincount(row).max() > survivors:
+        order = np.lexsort((col, -score, row))
+        row, col, score = row[order], col[order], score[order]
+        within = np.arange(len(row)) - np.searchsorted(row, row) < survivors
+        row, col, score = row[within], col[within], score[within]
+    return row, col, score
+
+
 def indexed_topk(questions: DataFrame, index: DataFrame, model: IndexModel, k: int = fv.PER_COLLECTION_K, min_score: float = fv.MIN_RELEVANCE,
                  probes: int = PROBES, survivors: int = SURVIVORS, question_id: str = "question_id", block: int = BLOCK) -> DataFrame:
     """Nearest ``k`` documents per (question, collection), as ``vectors.vector_topk`` gives them, among those of the probed cells.
@@ -239,70 +309,112 @@ def indexed_topk(questions: DataFrame, index: DataFrame, model: IndexModel, k: i
     Codes choose ``survivors`` candidates per question and collection; their scores are
     exact. With all cells probed and survivors for all documents the result is exact.
     Columns: question_id, collection, doc_id, score, rank. Questions without a vector
-    find nothing.
+    or an id find nothing.
+
+    The nearest cells are scored first and settle a floor: a score that ``survivors``
+    candidates reach at least. Parts then return only what reaches it, so candidates do not
+    grow with the number of parts. Questions, their cells and floors are stored.
     """
     spark = questions.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # of the model's fixed size
-    asked = questions.where(F.col("embedding").isNotNull()).select(F.col(question_id).alias("question_id"), F.col("embedding").cast("array<double>").alias("v"))
+    # a number for each of the model's cells
+    sizes = {r["cell"]: r["n"] for r in index.groupBy("cell").agg(F.sum(F.size("ids")).alias("n")).collect()}
+    width, counts = model.cells.shape[1], np.array([sizes.get(c, 0) for c in range(len(model.cells))])
+    shared = spark.sparkContext.broadcast((model, counts))  # of the model's fixed size
+    asked = questions.where(F.col("embedding").isNotNull() & F.col(question_id).isNotNull()).select(F.col(question_id).alias("question_id"), F.col("embedding").cast("array<double>").alias("v"))
     q_type, types = asked.schema["question_id"].dataType.simpleString(), {f.name: f.dataType.simpleString() for f in index.schema}
     d_type, c_type = types["ids"][6:-1], types["collection"]
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, counts = shared.value
         for batch in batches:
-            cells = shared.value.probes(_matrix(batch.column("v")), probes) if len(batch) else np.zeros((0, 1), int)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(cells.astype(np.int32)), pa.list_(pa.int32()))], ["question_id", "v", "cells"])
-
-    probed = asked.mapInArrow(probe, f"question_id {q_type}, v array<double>, cells array<int>").select("question_id", "v", F.explode("cells").alias("cell"))
-    blocks = F.ceil(F.lit(1.0) * F.count(F.lit(1)) / F.lit(block)).cast("int")
-    sizes = probed.groupBy("cell").agg(blocks.alias("blocks"))  # a row for each cell
-    packed = (probed.join(sizes, "cell").withColumn("qb", F.pmod(F.xxhash64("question_id"), "blocks"))
-              .groupBy("cell", "qb").agg(F.collect_list(F.struct("question_id", "v")).alias("asked")))  # about ``block`` questions
-
-    def questions_of(batch: pa.RecordBatch, i: int) -> tuple[pa.Array, np.ndarray]:
-        rows = batch.column("asked")[i].values
-        return rows.field("question_id"), _matrix(rows.field("v"))
-
-    def best(scores: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """(row, column) of each row's n best finite scores, and of those equal to the n-th."""
-        n = min(n, scores.shape[1])
-        cut = np.partition(scores, scores.shape[1] - n, axis=1)[:, scores.shape[1] - n, None]
-        return np.nonzero((scores >= cut) & np.isfinite(scores))
+            if not len(batch):
+                continue
+            vectors, cells, first = _matrix(batch.column("v")).astype(np.float64), [], []
+            for mine in model.nearest(vectors, probes):
+                before = np.cumsum(counts[mine], axis=1) - counts[mine]
+                cells.append(mine)
+                first.append((np.arange(mine.shape[1]) < NEAR) | (before < NEAR_SURVIVORS * survivors))
+            yield pa.RecordBatch.from_arrays([batch.column("question_id"), pa.array([v.tobytes() for v in vectors], pa.binary()), pa.array(list(np.concatenate(cells, axis=1).astype(np.int32)), pa.list_(pa.int32())),
+                                              pa.array(list(np.concatenate(first, axis=1)), pa.list_(pa.bool_()))], ["question_id", "v", "cells", "first"])
+
+    asked = materialise(asked.mapInArrow(probe, f"question_id {q_type}, v binary, cells array<int>, first array<boolean>"), "index-asked")
+    lists = index.groupBy("collection", "cell").agg(F.count(F.lit(1)).alias("parts"))  # a row for each list
+    same = lambda *names: [F.col(name).eqNullSafe(F.col(f"_{name}")) for name in names]
+    named = lambda df, *names: df.withColumnsRenamed({name: f"_{name}" for name in names})
+
+    def met(probed: DataFrame, floor: str) -> DataFrame:
+        """Blocks of about ``block`` questions (question_id, v, floor) of a cell beside each part of its lists."""
+        blocks = F.ceil(F.lit(1.0) * F.count(F.lit(1)) / F.lit(block)).cast("int")
+        sizes = probed.groupBy("cell").agg(blocks.alias("blocks")).join(lists, "cell").select("cell", "collection", "blocks")  # a row for each list
+        packed = (probed.join(sizes, "cell").withColumn("qb", F.pmod(F.xxhash64("question_id"), "blocks"))
+                  .groupBy("collection", "cell", "qb").agg(F.collect_list(F.struct("question_id", "v", F.expr(floor).cast("double").alias("floor"))).alias("asked")))
+        parts = named(index.select("collection", "cell", "part", "codes"), "collection", "cell")
+        return packed.join(parts, same("collection", "cell")).select("asked", "collection", "cell", "part", "codes")
+
+    def unpacked(rows: pa.StructArray) -> tuple[pa.Array, np.ndarray]:
+        return rows.field("question_id"), np.frombuffer(b"".join(rows.field("v").to_pylist())).reshape(len(rows), width)
+
+    def decoded(batch: pa.RecordBatch, i: int) -> np.ndarray:
+        model = shared.value[0]
+        return model.decode(np.frombuffer(batch.column("codes")[i].as_py(), np.uint8).reshape(-1, model.books.shape[0]), batch.column("cell")[i].as_py())
+
+    def repeated(batch: pa.RecordBatch, name: str, i: int, n: int) -> pa.Array:
+        return batch.column(name).take(pa.array(np.full(n, i)))
+
+    def levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                ids, vectors = unpacked(batch.column("asked")[i].values)
+                found = _levels(vectors, decoded(batch, i), survivors)
+                yield pa.RecordBatch.from_arrays([ids, repeated(batch, "collection", i, len(ids)), pa.array(list(found), pa.list_(pa.float64()))], ["question_id", "collection", "levels"])
+
+    # each level stands for ``step`` documents of its part: so many levels make all survivors
+    step = max(1, survivors // LEVELS)
+    reached = F.get(F.sort_array(F.flatten(F.collect_list("levels")), asc=False), F.lit(-(-survivors // step) - 1))
+    nearest = asked.select("question_id", "v", F.explode(F.arrays_zip("cells", "first")).alias("at")).where("at.first").select("question_id", "v", F.col("at.cells").alias("cell"))
+    floors = (met(nearest, "null").mapInArrow(levels, f"question_id {q_type}, collection {c_type}, levels array<double>")
+              .groupBy("question_id", "collection").agg(reached.alias("floor")).where(F.col("floor").isNotNull())
+              .groupBy("question_id").agg(F.collect_list(F.struct("collection", "floor")).alias("floors")))
+    floors = materialise(floors, "index-floors")
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                ids, vectors = questions_of(batch, i)
-                cell, part = batch.column("cell")[i].as_py(), batch.column("part")[i].as_py()
-                codes = np.frombuffer(batch.column("codes")[i].as_py(), np.uint8).reshape(-1, shared.value.books.shape[0])
-                guesses = vectors @ shared.value.decode(codes, cell).T
-                rows, columns = best(guesses, survivors)
+                asked = batch.column("asked")[i].values
+                ids, vectors = unpacked(asked)
+                floor = asked.field("floor").fill_null(-np.inf).to_numpy(zero_copy_only=False)
+                rows, columns, guesses = _reaching(vectors, decoded(batch, i), floor, survivors)
                 n = len(rows)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pa.array([batch.column("collection")[i].as_py()] * n, batch.schema.field("collection").type),
-                                                  pa.array(np.full(n, cell, np.int32)), pa.array(np.full(n, part, np.int32)), pa.array(columns.astype(np.int32)), pa.array(guesses[rows, columns])],
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), *(repeated(batch, name, i, n) for name in ("collection", "cell", "part")), pa.array(columns.astype(np.int32)), pa.array(guesses)],
                                                  ["question_id", "collection", "cell", "part", "pos", "guess"])
 
-    met = packed.join(index.select("collection", "cell", "part", "codes"), "cell").select("asked", "collection", "cell", "part", "codes")
-    guesses = met.mapInArrow(candidates, f"question_id {q_type}, collection {c_type}, cell int, part int, pos int, guess double")
+    probed = asked.join(floors, "question_id", "left").select("question_id", "v", "floors", F.explode("cells").alias("cell"))
+    guesses = (met(probed, "get(filter(floors, x -> x.collection <=> collection), 0).floor")
+               .mapInArrow(candidates, f"question_id {q_type}, collection {c_type}, cell int, part int, pos int, guess double"))
     w = W.partitionBy("question_id", "collection")
     chosen = (guesses.withColumn("n", F.row_number().over(w.orderBy(F.desc("guess"), "cell", "part", "pos"))).where(F.col("n") <= survivors)
-              .select("question_id", "collection", "cell", "part", "pos"))
-    # per list part: the questions that want some of its rows, in blocks as before
-    wanted = chosen.join(asked, "question_id").groupBy("collection", "cell", "part", F.pmod(F.xxhash64("question_id"), F.lit(64)).alias("qb")).agg(
-        F.collect_list(F.struct("question_id", "v", "pos")).alias("asked"))
+              .groupBy("question_id", "collection", "cell", "part").agg(F.collect_list("pos").alias("places")))
+    # per list part: the questions that want some of its rows, in blocks
+    n_blocks = F.greatest(F.lit(1), F.ceil(asked.agg(F.count(F.lit(1))).scalar() / F.lit(EXACT_BLOCK))).cast("int")
+    wanted = (chosen.join(asked.select("question_id", "v"), "question_id").groupBy("collection", "cell", "part", F.pmod(F.xxhash64("question_id"), n_blocks).alias("qb"))
+              .agg(F.collect_list(F.struct("question_id", "v", "places")).alias("asked")))
 
     def rescored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                ids, vectors = questions_of(batch, i)
-                places = batch.column("asked")[i].values.field("pos").to_numpy(zero_copy_only=False)
+                asked = batch.column("asked")[i].values
+                ids, vectors = unpacked(asked)
+                lists = asked.field("places")
+                places, rows = lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(ids)), lists.value_lengths().to_numpy(zero_copy_only=False))
                 documents = np.frombuffer(batch.column("vectors")[i].as_py()).reshape(len(batch.column("ids")[i]), -1)
-                exact = np.einsum("ij,ij->i", vectors, documents[places])
-                kept = np.flatnonzero(exact >= min_score)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(kept)), pa.array([batch.column("collection")[i].as_py()] * len(kept), batch.schema.field("collection").type),
-                                                  batch.column("ids")[i].values.take(pa.array(places[kept])), pa.array(np.round(exact[kept], 4))], ["question_id", "collection", "doc_id", "score"])
-
-    lists = index.select(F.col("collection").alias("c"), F.col("cell").alias("l"), F.col("part").alias("p"), "ids", "vectors")
-    same = F.col("collection").eqNullSafe(F.col("c")) & (F.col("cell") == F.col("l")) & (F.col("part") == F.col("p"))
-    full = wanted.join(lists, same).select("asked", "collection", "ids", "vectors")
-    found = full.mapInArrow(rescored, f"question_id {q_type}, collection {c_type}, doc_id {d_type}, score double")
+                for low in range(0, len(rows), 1 << 16):
+                    row, place = rows[low:low + (1 << 16)], places[low:low + (1 << 16)]
+                    exact = np.einsum("ij,ij->i", vectors[row], documents[place])
+                    kept = np.flatnonzero(exact >= min_score)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[kept])), repeated(batch, "collection", i, len(kept)), batch.column("ids")[i].values.take(pa.array(place[kept])),
+                                                      pa.array(np.round(exact[kept], 4))], ["question_id", "collection", "doc_id", "score"])
+
+    full = named(index.select("collection", "cell", "part", "ids", "vectors"), "collection", "cell", "part")
+    found = (wanted.join(full, same("collection", "cell", "part")).select("asked", "collection", "ids", "vectors")
+             .mapInArrow(rescored, f"question_id {q_type}, collection {c_type}, doc_id {d_type}, score double"))
     return found.withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "doc_id"))).where(F.col("rank") <= k)

@@ -125,3 +125,58 @@ def test_updates_equal_an_index_from_scratch(spark):
         assert listed(vi.read_index(spark, path)) == listed(vi.read_index(spark, scratch))
     vi.update_index(spark.createDataFrame([(*r[:3], True) for r in now.values()], schema), model, path, part=32)
     assert vi.read_index(spark, path).count() == 0
+
+
+def returned(df):
+    """Rows that each step in Python returned, once the table has been collected."""
+    plans, found = [df._jdf.queryExecution().executedPlan()], []
+    while plans:
+        plan = plans.pop()
+        kind = plan.getClass().getSimpleName()
+        if kind == "MapInArrowExec":
+            found.append(plan.metrics().apply("pythonNumRowsReceived").value())
+        inner = plan.executedPlan() if kind == "AdaptiveSparkPlanExec" else plan.plan() if kind.endswith("QueryStageExec") else None
+        plans += [inner] if inner is not None else [plan.children().apply(i) for i in range(plan.children().size())]
+    return found
+
+
+def test_candidates_do_not_grow_with_the_parts(spark):
+    """Parts return what can be among the survivors of a question, not as many candidates as a question may have."""
+    docs, questions = tables(spark, 6000, 60)
+    docs = docs.withColumn("collection", F.when(F.col("doc_id") % 3 > 0, F.col("collection")))  # a third has none
+    _, whole = built(spark, docs, cells=8, part=10**6)
+    model, index = built(spark, docs, cells=8, part=16)
+    assert index.count() > 300
+    found = vi.indexed_topk(questions, index, model, probes=8, survivors=12, min_score=-1.0)
+    got = rows(found.withColumn("collection", F.coalesce("collection", F.lit(""))))
+    found.collect()
+    assert 60 * 3 * 12 <= max(returned(found)) < 60 * 3 * 12 * 8
+    # the best codes of all lists, then the best scores among them
+    lists = [(r.collection or "", r.ids, model.decode(np.frombuffer(r.codes, np.uint8).reshape(-1, 16), r.cell), np.frombuffer(r.vectors).reshape(len(r.ids), -1)) for r in whole.collect()]
+    want = []
+    for q in questions.collect():
+        for name in ("", "a", "b"):
+            ids, codes, vectors = (np.concatenate([x[i] for x in lists if x[0] == name]) for i in (1, 2, 3))
+            best = np.argsort(-(codes @ q.embedding))[:12]
+            scores = np.round(vectors[best] @ q.embedding, 4)
+            want += [(q.question_id, name, n + 1, int(ids[best[i]]), scores[i]) for n, i in enumerate(np.lexsort((ids[best], -scores))[:5])]
+    assert got == sorted(want)
+
+
+def test_scores_that_reach_a_floor():
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=(700, 16)), rng.normal(size=(1500, 16))
+    b[200:900] = b[200]  # copies
+    b[5, 0], a[3] = np.nan, 0.0
+    exact = a @ b.T
+    levels = vi._levels(a, b, 64)
+    floor = np.where(np.arange(700) % 3 == 0, -np.inf, levels[:, -1])
+    for scale in (1.0, 1e25):  # the second is beyond single precision
+        row, col, score = vi._reaching(a * scale, b * scale, floor * scale ** 2, 64)
+        for i in range(700):
+            mine = row == i
+            assert mine.sum() == 64 and 5 not in col[mine]
+            assert np.allclose(np.sort(score[mine]) / scale ** 2, np.sort(np.where(np.isfinite(exact[i]), exact[i], -np.inf))[-64:])
+    assert len(vi._reaching(a, b[:0], floor, 64)[0]) == 0 and vi._levels(a, b[:3], 64).shape == (700, 0)
+    with np.errstate(invalid="ignore"):
+        assert (levels <= np.sort(np.where(np.isfinite(exact), exact, -np.inf), axis=1)[:, ::-1][:, 3:64:4]).all()
