@@ -5,6 +5,7 @@ from datetime import datetime
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from railweave.operators import retrieve as rt
@@ -37,6 +38,45 @@ def test_best_rows_equal_brute_force(l2):
         assert list(zip(*(x.tolist() for x in vc._best(a, b, 3, 0.2, l2)), strict=True)) == want
 
 
+def test_most_products_are_passed_over_in_one_reading(monkeypatch):
+    """The tiles' best guesses settle a floor, so few rows are scored exactly however many there are, and ties go by row."""
+    rng = np.random.default_rng(5)
+    a, b = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (rng.random((300, 16)) - 0.5, rng.random((20000, 16)) - 0.5))
+    b[9000:9040] = b[8999]
+    exact, scored = np.einsum, []
+    monkeypatch.setattr(np, "einsum", lambda how, x, y: (scored.append(len(x)), exact(how, x, y))[1])
+    rows, cols, scores = vc._best(a, b, 5, -1.0, False)
+    r = np.round(a @ b.T, 4)
+    assert [tuple(cols[rows == i]) for i in range(300)] == [tuple(np.lexsort((np.arange(20000), -x))[:5]) for x in r]
+    assert sum(scored) < 300 * 40
+
+
+@pytest.mark.parametrize("parts", [1, 12, 50])
+def test_pairs_of_blocks_are_dealt_evenly(spark, parts):
+    keys = vc.even_keys(3 * parts, parts)
+    dealt = spark.createDataFrame([(k,) for k in keys], "k int").select(F.pmod(F.hash("k"), F.lit(parts)).alias("p")).toArrow().column("p").to_pylist()
+    assert len(set(keys)) == 3 * parts and dealt == [i % parts for i in range(3 * parts)]
+    questions = spark.createDataFrame([("q", [1.0, 0.0])], "question_id string, embedding array<double>")
+    documents = spark.createDataFrame([("c", i, [1.0, 0.0]) for i in range(3)], "collection string, doc_id long, embedding array<double>")
+    plan = vc.vector_topk(questions, documents)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 2 and not [line for line in plan.split("\n") if "Exchange hashpartitioning(pair" in line and "REPARTITION_BY_NUM" not in line]
+
+
+@pytest.mark.parametrize("name", ["set02_union_ranked", "ret07_rrf_fuse"])
+def test_lists_score_only_the_collections_that_are_asked(spark, monkeypatch, name):
+    """What a question does not ask is dropped behind the search, so it need not be scored."""
+    wanted, search = [], vc.vector_topk
+    monkeypatch.setattr(vc, "vector_topk", lambda *a, **b: (wanted.append(b.get("wanted")), search(*a, **b))[1])
+    entry.queries()[name](spark, "/root/testdata/sf0.001")
+    assert wanted == ["active"]
+
+
+def test_small_inputs_that_grow_are_dealt_over_all_tasks(spark):
+    words, names = spark.createDataFrame([("mangalor",)], "word string"), spark.createDataFrame([("mangalore",)], "alias string")
+    assert st.similar_pairs(words, names, 0.8)._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") >= 2
+    assert len(Roles(spark, "/root/testdata/sf0.01").asked().inputFiles()) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_no_side_of_the_similar_words_is_broadcast(spark):
     """Both sides are made longer by pieces, which size estimates do not see."""
     words, names = spark.createDataFrame([("mangalor",)], "word string"), spark.createDataFrame([("mangalore",), ("bangalore",)], "alias string")
